@@ -100,10 +100,11 @@ def _bulk(lines: pa.Array, delimiter: str, names: list[str]) -> pa.Table | None:
     quoted = lines.filter(pc.match_substring(lines, '"'))
     if len(quoted) and not pc.all(pc.match_substring_regex(quoted, _strict_pattern(delimiter))).as_py():
         return None
+    data = "\n".join(lines.to_pylist()).encode()
     try:
         got = pacsv.read_csv(
-            io.BytesIO("\n".join(lines.to_pylist()).encode()),
-            read_options=pacsv.ReadOptions(column_names=names, use_threads=False, block_size=1 << 24),
+            io.BytesIO(data),
+            read_options=pacsv.ReadOptions(column_names=names, use_threads=False, block_size=len(data) + 2),
             parse_options=pacsv.ParseOptions(delimiter=delimiter, newlines_in_values=True, ignore_empty_lines=False),
             convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False),
         )
