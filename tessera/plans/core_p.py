@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import bad_rows
+from tessera.operators import bad_rows, units
 from tessera.session import table
 
 
@@ -16,7 +16,25 @@ def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad_rows.valid_rows(table(spark, sf_dir, "raw_lines"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rows": p3_rows}
+def _table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["item_id", "original_text", "item_per_rab", "volume", "unit", "unit_price", "total_price"]
+    return table(spark, sf_dir, "review_items").filter("source_quality = 'table'").select(*columns)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.same_quantity(units.convert(_table_rows(spark, sf_dir), table(spark, sf_dir, "unit_ref")))
+
+
+def p6_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = units.convert(_table_rows(spark, sf_dir), table(spark, sf_dir, "unit_ref"))
+    return out.select("item_id", "unit_code", "base_unit", "volume_base", "unit_price_base")
+
+
+def p6_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.learn_spellings(units.measures(_table_rows(spark, sf_dir)), table(spark, sf_dir, "unit_ref"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_rows": p6_rows, "p6_spellings": p6_spellings, "p3_found": p3_found, "p3_rows": p3_rows}
 
 _NUMBER = r"^(\s*|(Rp\.? ?)?(\d+([.,]\d+)?|\d{1,3}(\.\d{3})+(,\d+)?|\d{1,3}(,\d{3})+(\.\d+)?))$"
 
