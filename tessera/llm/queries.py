@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import copies, packing, tokens
+from tessera.llm import copies, garbled, lookalikes, packing, tokens
 from tessera.session import table
 
 
@@ -16,6 +16,37 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), "id", F.col(c).alias("term")) for t, c in parts])
 
 
+def _texts(spark: SparkSession, sf_dir: str, exceptions: bool) -> DataFrame:
+    """table_name, record_id, kind of source and text of the records that people or scanners wrote."""
+    items = table(spark, sf_dir, "review_items")
+    parts = [
+        items.select(F.lit("review_items").alias("table_name"), F.col("item_id").alias("record_id"), F.coalesce("source_quality", F.lit("")).alias("source"), F.col("original_text").alias("text")),
+        table(spark, sf_dir, "feedback").select(F.lit("feedback").alias("table_name"), F.col("id").alias("record_id"), F.lit("feedback").alias("source"), F.col("original_text").alias("text")),
+    ]
+    if exceptions:
+        parts.append(table(spark, sf_dir, "exceptions").select(F.lit("exceptions").alias("table_name"), F.col("id").alias("record_id"), F.lit("exceptions").alias("source"), F.col("pattern").alias("text")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lookalikes.one_form(_texts(spark, sf_dir, True), ["table_name", "record_id"])
+    return out.filter("found").select("table_name", "record_id").distinct()
+
+
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.one_form(_texts(spark, sf_dir, True), ["table_name", "record_id"]).select("table_name", "record_id", "text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = garbled.restore(spark, _texts(spark, sf_dir, False), ["table_name", "record_id"])
+    return out.filter("garbled").select("table_name", "record_id").distinct()
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = garbled.restore(spark, _texts(spark, sf_dir, False), ["table_name", "record_id"])
+    return out.select("table_name", "record_id", F.col("restored").alias("text"), "garbled")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.members(copies.digests(_terms(spark, sf_dir), "term", ["table_name", "id"]))
 
@@ -35,7 +66,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("item_id").alias("doc_id"), "piece_no", F.col("start").alias("start_token"), F.col("length").alias("n_tokens"), "container_id")
 
 
-QUERIES = {"p7_found": p7_found, "p7_counts": p7_counts, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p4_found": p4_found, "p4_text": p4_text, "p7_found": p7_found, "p7_counts": p7_counts, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 _COPIES = r"""
 WITH term AS (
