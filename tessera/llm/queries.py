@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import copies, garbled, lookalikes, packing, tokens
+from tessera.llm import canonical, copies, garbled, lookalikes, packing, tokens
 from tessera.session import table
 
 
@@ -16,6 +16,25 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), "id", F.col(c).alias("term")) for t, c in parts])
 
 
+def _typed_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, text) of the costs typed by hand, in one form of characters."""
+    items = table(spark, sf_dir, "review_items").filter("section = 'Biaya Umum'")
+    last = F.element_at(F.split("original_text", r"\s\|\s"), -1)
+    typed = items.select(F.col("item_id").alias("row_id"), F.coalesce(F.when(F.trim("item_per_rab") != "", F.col("item_per_rab")), last).alias("text"))
+    return lookalikes.one_form(typed, ["row_id"]).select("row_id", "text")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keywords = table(spark, sf_dir, "nac_keywords").select("id", F.col("keyword").alias("term"))
+    synonyms = table(spark, sf_dir, "nac_synonyms").select("id", F.col("nac_keyword_id").alias("keyword_id"), F.col("synonym").alias("term"))
+    out = canonical.name(_typed_costs(spark, sf_dir), canonical.entries(keywords, synonyms))
+    return out.select(F.col("row_id").alias("item_id"), F.coalesce("target_id", F.lit(0)).cast("long").alias("keyword_id"))
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_found(spark, sf_dir).filter("keyword_id = 0").select("item_id")
+
+
 def _texts(spark: SparkSession, sf_dir: str, exceptions: bool) -> DataFrame:
     """table_name, record_id, kind of source and text of the records that people or scanners wrote."""
     items = table(spark, sf_dir, "review_items")
@@ -66,7 +85,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("item_id").alias("doc_id"), "piece_no", F.col("start").alias("start_token"), F.col("length").alias("n_tokens"), "container_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p4_found": p4_found, "p4_text": p4_text, "p7_found": p7_found, "p7_counts": p7_counts, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_text": p2_text, "p4_found": p4_found, "p4_text": p4_text, "p7_found": p7_found, "p7_counts": p7_counts, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 _COPIES = r"""
 WITH term AS (
