@@ -59,10 +59,10 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], value: str, coun
     All others are joined by shuffle, where no partition key can exceed ``hot_rows`` rows.
     Rows whose key is not in ``groups`` are dropped; keys must not be null.
     """
-    hot = groups.filter(F.col(count) >= hot_rows).select(*keys, F.col(value).alias("_hot"))
+    hot = groups.filter(F.col(count) >= hot_rows).select(*keys, F.col(value).alias("_hot"), F.lit(True).alias("_is_hot"))
     marked = rows.join(F.broadcast(hot), keys, "left")
-    warm = marked.filter(F.col("_hot").isNotNull()).withColumnRenamed("_hot", value)
-    cold = marked.filter(F.col("_hot").isNull()).drop("_hot")
+    warm = marked.filter(F.col("_is_hot")).drop("_is_hot").withColumnRenamed("_hot", value)
+    cold = marked.filter(F.col("_is_hot").isNull()).drop("_hot", "_is_hot")
     rest = cold.join(groups.filter(F.col(count) < hot_rows).select(*keys, value), keys)
     return warm.unionByName(rest)
 
