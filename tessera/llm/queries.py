@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, copies, garbled, lookalikes, packing, tokens
+from tessera.llm import canonical, copies, garbled, lookalikes, packing, scans, tokens
 from tessera.session import table
 
 
@@ -66,6 +66,18 @@ def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("table_name", "record_id", F.col("restored").alias("text"), "garbled")
 
 
+def _repaired(spark: SparkSession, sf_dir: str, description: bool) -> DataFrame:
+    return scans.repair(spark, table(spark, sf_dir, "review_items").filter("source_quality = 'ocr'"), description)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir, False).select("item_id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir, True).select("item_id", F.col("text").alias("original_text"), F.col("description").alias("item_description"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.members(copies.digests(_terms(spark, sf_dir), "term", ["table_name", "id"]))
 
@@ -85,7 +97,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("item_id").alias("doc_id"), "piece_no", F.col("start").alias("start_token"), F.col("length").alias("n_tokens"), "container_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_text": p2_text, "p4_found": p4_found, "p4_text": p4_text, "p7_found": p7_found, "p7_counts": p7_counts, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_text": p2_text, "p4_found": p4_found, "p4_text": p4_text, "p5_found": p5_found, "p5_text": p5_text, "p7_found": p7_found, "p7_counts": p7_counts, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 _COPIES = r"""
 WITH term AS (
