@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, copies, garbled, lookalikes, packing, scans, tokens
+from tessera.llm import canonical, copies, garbled, lookalikes, packing, personal, scans, tokens
 from tessera.session import table
 
 
@@ -97,7 +97,16 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("item_id").alias("doc_id"), "piece_no", F.col("start").alias("start_token"), F.col("length").alias("n_tokens"), "container_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_text": p2_text, "p4_found": p4_found, "p4_text": p4_text, "p5_found": p5_found, "p5_text": p5_text, "p7_found": p7_found, "p7_counts": p7_counts, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.kind").alias("pii_type"), F.col("s.start").alias("start_pos")).distinct()
+
+
+def p10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.masked(personal.find(spark, table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {"p10_found": p10_found, "p10_text": p10_text, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_text": p2_text, "p4_found": p4_found, "p4_text": p4_text, "p5_found": p5_found, "p5_text": p5_text, "p7_found": p7_found, "p7_counts": p7_counts, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 _COPIES = r"""
 WITH term AS (
