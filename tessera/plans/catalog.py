@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import core_p
+from tessera.plans import core_p, review
 
-QUERIES = {**core_p.QUERIES}
-SQL = {**core_p.SQL}
+QUERIES = {**review.QUERIES, **core_p.QUERIES}
+SQL = {**review.SQL, **core_p.SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p3_found"](spark, sf_dir)
+    """The flagship: the whole review of all items."""
+    return QUERIES["review"](spark, sf_dir)
