@@ -35,7 +35,7 @@ ROUNDS, AGREE, SNAP = 6, 0.5, 0.004
 EQUAL = 0.001
 
 _SCALE_WORD = r"(?:\s*(rb|ribu|jt|juta)(?![\p{L}]))?"
-_VOLUME = rf"(?i)^\s*([\d.,]*\d){_SCALE_WORD}\s*(.*?)\s*$"
+_VOLUME = r"(?i)^\s*([\d.,]*\d)(?:\s*(ribu|rb|juta|jt))?\s*(.*?)\s*$"
 _PRICE = rf"(?i)^\s*(?:rp\.?\s*)?([\d.,]*\d)(?:,-)?{_SCALE_WORD}\s*(?:(?:/|per\s)\s*(.*?))?\s*$"
 _TEXT = r"(?i)\|\s*(?:per\s|sat\.|satuan:|satuan\s|\(dalam\s)\s*([^|]*?)\s*$"
 

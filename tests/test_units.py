@@ -42,4 +42,6 @@ def test_empty_and_scale_words(spark):
     assert units.same_quantity(units.convert(items(spark).limit(0), ref)).count() == 0
     one = items(spark).limit(1).withColumn("volume", F.lit("12 rb m")).withColumn("unit", F.lit(None).cast("string")).withColumn("unit_price", F.lit("1,5 jt/m"))
     r = units.measures(one).first()
+    tight = units.measures(one.withColumn("volume", F.lit("1,44 rbkm"))).first()
+    assert (tight.volume_read, tight.spelling) == (1440.0, "km")
     assert (r.volume_read, r.price_read, r.spelling) == (12000.0, 1500000.0, "m")
