@@ -359,4 +359,18 @@ coalesce(nullif(regexp_replace(regexp_replace(coalesce(source_file, ''), '[^A-Za
     "semantic_matches": """WITH k AS (SELECT vec_id AS kid, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
 s AS (SELECT vec_id AS item_id, kid, 100 * list_inner_product(embedding::DOUBLE[], w) / (greatest(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-9) * greatest(sqrt(list_inner_product(w, w)), 1e-9)) AS v FROM embeddings, k)
 SELECT item_id, kid AS keyword_id, round(v, 3) AS semantic FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY v DESC, kid) = 1 AND v >= 10""",
+    "sheet_lines": """WITH i AS (
+  SELECT coalesce(source_file, '') AS file, item_id::INT AS row_idx, CASE WHEN item_id % 3 = 0 THEN '' ELSE (item_id % 50)::VARCHAR END AS no, trim(item_per_rab) AS d,
+    item_id % 7 <> 1 AND (trim(coalesce(unit, '')) <> '' OR trim(coalesce(volume, '')) <> '' OR trim(coalesce(unit_price, '')) <> '') AS detail
+  FROM review_items WHERE source_quality = 'table' AND item_per_rab IS NOT NULL),
+r AS (SELECT *, no <> '' AS numbered FROM i WHERE d <> '' AND try_cast(d AS DOUBLE) IS NULL
+  AND (starts_with(lower(d), 'biaya ') OR NOT regexp_matches(lower(d), 'nama barang|nama material|uraian kegiatan|harga satuan|jumlah|satuan'))),
+b AS (SELECT *, sum(numbered::INT) OVER (PARTITION BY file ORDER BY row_idx) AS block FROM r),
+c AS (SELECT *, min((detail OR numbered)::INT) OVER w = 1 AS whole, first_value(numbered AND NOT detail) OVER w AS grouped, first_value(d) OVER w AS grp, first_value(no) OVER w AS gno
+  FROM b WINDOW w AS (PARTITION BY file, block ORDER BY row_idx ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, NOT numbered AND block > 0 AND grouped AND whole AS child FROM c),
+f AS (SELECT *, sum(child::INT) OVER (PARTITION BY file, block ORDER BY row_idx ROWS UNBOUNDED PRECEDING) AS k,
+    last_value(CASE WHEN NOT numbered AND NOT child THEN d END IGNORE NULLS) OVER (PARTITION BY file ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM e)
+SELECT file, row_idx, CASE WHEN numbered THEN no ELSE gno || '.' || k END AS row_id, d AS item_per_rab, CASE WHEN numbered THEN coalesce(above, '') ELSE grp END AS section
+FROM f WHERE numbered OR child""",
 }
