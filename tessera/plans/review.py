@@ -78,6 +78,11 @@ def review(s: SparkSession, d: str) -> DataFrame:
     return out.select("item_id", "matched_keyword", "matched_category", "match_type", "fuzzy_score", "allowable_score", "final_confidence", "confidence_label", "manual_review", "suggested_synonym_candidate")
 
 
+def _whole(s: SparkSession, d: str) -> DataFrame:
+    """The whole review with all columns of the items, computed once for the reports over it."""
+    return cut(_reviewed(s, d, Settings(), similar=True))
+
+
 def review_by_rules(s: SparkSession, d: str) -> DataFrame:
     return _reviewed(s, d).select("item_id", "matched_keyword", "matched_category", "match_type", "final_confidence", "confidence_label", "manual_review")
 
@@ -96,26 +101,31 @@ def feedback_adjustments(s: SparkSession, d: str) -> DataFrame:
     return items.join(got, "text").select("item_id", "adjustment")
 
 
-def filtered_results(s: SparkSession, d: str) -> DataFrame:
-    out = report.filtered(_reviewed(s, d), levels=["Sedang", "Tinggi", "Rendah"], manual_only=True, query="Paket 4")
-    return out.select("item_id", "confidence_label")
+def _report(of):
+    """A report over the review by rules only, which SQL can express, and the same one over the whole review."""
+
+    def by_rules(s: SparkSession, d: str) -> DataFrame:
+        return of(_reviewed(s, d))
+
+    def whole(s: SparkSession, d: str) -> DataFrame:
+        return of(_whole(s, d))
+
+    return by_rules, whole
 
 
-def potential_findings(s: SparkSession, d: str) -> DataFrame:
-    out = report.potential_findings(_reviewed(s, d))
-    return out.select("item_id", "row_id", "source_file", "page_or_sheet", "judul_rab", "section", "item_per_rab", "matched_category", "matched_keyword", "match_type", "final_confidence", "confidence_label")
+def _filtered_results(r: DataFrame) -> DataFrame:
+    return report.filtered(r, levels=["Sedang", "Tinggi", "Rendah"], manual_only=True, query="Paket 4").select("item_id", "confidence_label")
 
 
-def review_metrics(s: SparkSession, d: str) -> DataFrame:
-    return report.metrics(_reviewed(s, d))
+def _potential_findings(r: DataFrame) -> DataFrame:
+    return report.potential_findings(r).select("item_id", "row_id", "source_file", "page_or_sheet", "judul_rab", "section", "item_per_rab", "matched_category", "matched_keyword", "match_type", "final_confidence", "confidence_label")
 
 
-def export_summary(s: SparkSession, d: str) -> DataFrame:
-    return report.export_summary(_reviewed(s, d))
+def _all_materials(r: DataFrame) -> DataFrame:
+    return report.by_row_number(report.all_materials(r)).select("item_id", "row_id", "item", "category", "confidence", "confidence_label")
 
 
-def all_materials(s: SparkSession, d: str) -> DataFrame:
-    return report.by_row_number(report.all_materials(_reviewed(s, d))).select("item_id", "row_id", "item", "category", "confidence", "confidence_label")
+REPORTS = {"filtered_results": _filtered_results, "potential_findings": _potential_findings, "review_metrics": report.metrics, "export_summary": report.export_summary, "all_materials": _all_materials}
 
 
 def _learning(name: str):
@@ -204,10 +214,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         review, review_by_rules, normalized_items, rule_matches, rule_matches_by_join, fuzzy_matches, allowable_contained, allowable_scores, exception_hits, feedback_adjustments,
-        filtered_results, potential_findings, review_metrics, export_summary, all_materials, learning_totals, keyword_aliases, keyword_filter, option_lists, keyword_lookup,
+        learning_totals, keyword_aliases, keyword_filter, option_lists, keyword_lookup,
         synonyms_with_keywords, store_deactivated, store_deleted, store_inserted, text_chunks, item_names, semantic_matches, sheet_lines,
     )
-} | {f"learning_{n}": _learning(n) for n in ("not_confirmed", "confirmed", "new_keywords", "synonyms", "pairs", "exception_candidates")}
+} | {f"learning_{n}": _learning(n) for n in ("not_confirmed", "confirmed", "new_keywords", "synonyms", "pairs", "exception_candidates")} | {n: q for name, of in REPORTS.items() for n, q in zip((name, f"whole_{name}"), _report(of))}
 
 # --- SQL ------------------------------------------------------------------------------------------------------
 
