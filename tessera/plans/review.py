@@ -87,20 +87,38 @@ def review_by_rules(s: SparkSession, d: str) -> DataFrame:
     return _reviewed(s, d).select("item_id", "matched_keyword", "matched_category", "match_type", "final_confidence", "confidence_label", "manual_review")
 
 
-def exception_hits(s: SparkSession, d: str) -> DataFrame:
+def _exception_hits(s: SparkSession, d: str, settings: Settings) -> DataFrame:
     items, texts = _texts(s, d)
-    found = cut(detect.match(s, texts, table(s, d, "nac_keywords"), table(s, d, "nac_synonyms"), STRICT))
+    found = cut(detect.match(s, texts, table(s, d, "nac_keywords"), table(s, d, "nac_synonyms"), settings))
     hits = detect.exception_for(found.select("text", "keyword_id"), table(s, d, "exceptions"))
     return items.join(hits, "text").select("item_id", "exception_id", "penalty")
 
 
-def feedback_adjustments(s: SparkSession, d: str) -> DataFrame:
+def exception_hits(s: SparkSession, d: str) -> DataFrame:
+    """Of keywords matched by rules only, as in the SQL form."""
+    return _exception_hits(s, d, STRICT)
+
+
+def whole_exception_hits(s: SparkSession, d: str) -> DataFrame:
+    return _exception_hits(s, d, Settings())
+
+
+def _feedback_adjustments(s: SparkSession, d: str, settings: Settings) -> DataFrame:
     items, texts = _texts(s, d)
-    found = cut(detect.match(s, texts, table(s, d, "nac_keywords"), table(s, d, "nac_synonyms"), STRICT))
+    found = cut(detect.match(s, texts, table(s, d, "nac_keywords"), table(s, d, "nac_synonyms"), settings))
     got = detect.feedback_for(found.select("text", "keyword"), table(s, d, "feedback"))
     return items.join(got, "text").select("item_id", "adjustment")
 
 
+def feedback_adjustments(s: SparkSession, d: str) -> DataFrame:
+    """Of keywords matched by rules only, as in the SQL form."""
+    return _feedback_adjustments(s, d, STRICT)
+
+
+def whole_feedback_adjustments(s: SparkSession, d: str) -> DataFrame:
+    return _feedback_adjustments(s, d, Settings())
+
+
 def _report(of):
     """A report over the review by rules only, which SQL can express, and the same one over the whole review."""
 
@@ -214,7 +232,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         review, review_by_rules, normalized_items, rule_matches, rule_matches_by_join, fuzzy_matches, allowable_contained, allowable_scores, exception_hits, feedback_adjustments,
-        learning_totals, keyword_aliases, keyword_filter, option_lists, keyword_lookup,
+        whole_exception_hits, whole_feedback_adjustments, learning_totals, keyword_aliases, keyword_filter, option_lists, keyword_lookup,
         synonyms_with_keywords, store_deactivated, store_deleted, store_inserted, text_chunks, item_names, semantic_matches, sheet_lines,
     )
 } | {f"learning_{n}": _learning(n) for n in ("not_confirmed", "confirmed", "new_keywords", "synonyms", "pairs", "exception_candidates")} | {n: q for name, of in REPORTS.items() for n, q in zip((name, f"whole_{name}"), _report(of))}

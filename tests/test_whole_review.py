@@ -1,7 +1,7 @@
 import pytest
 
 from tessera.plans import catalog
-from tests.test_review import dictionaries
+from tests.test_review import FEEDBACK, dictionaries
 
 ITEMS = "item_id long, row_id string, source_file string, page_or_sheet string, judul_rab string, section string, item_per_rab string, item_description string, original_text string, source_quality string, total_price string"
 TEXTS = ["Biaya konsumsi rapat koordinasi", "Snak meting", "biaya", "Material konstruksi panel", "Pengadaan kabel NYY 4x16mm", "Biaya pribadi material konstruksi"]
@@ -30,3 +30,14 @@ def test_reports_are_over_the_whole_review(spark, plain):
     assert sorted(rows("whole_filtered_results")) == [(0, "Sedang"), (5, "Rendah")]
     summary = dict(rows("whole_export_summary"))
     assert summary["count_Rendah"] == 3 and summary["total_value_Rendah"] == 30 and summary["total_items_reviewed"] == 6
+
+
+def test_exceptions_and_feedback_of_misspelt_keywords(spark, tmp_path):
+    exceptions = dictionaries(spark)[3]
+    changed = {
+        "exceptions": spark.createDataFrame([(9, 4, "meting", "x", "lower_confidence", 12.0, "active", None)], exceptions.schema),
+        "feedback": spark.createDataFrame([(i, None, "y", "snack", "Correct NAC", None, None, None) for i in range(2)] + [(5, None, "snak", "snack", "Confidence Too Low", None, None, None)], FEEDBACK),
+    }
+    folder = stored(spark, tmp_path / "bound", changed)
+    assert [tuple(r) for r in catalog.QUERIES["whole_exception_hits"](spark, folder).collect()] == [(1, 9, 12.0)]
+    assert {r.item_id: r.adjustment for r in catalog.QUERIES["whole_feedback_adjustments"](spark, folder).collect()} == {i: 12.0 if i == 1 else 0.0 for i in range(6)}
