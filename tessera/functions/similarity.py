@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -125,6 +127,48 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
+def _gram_counts(sides: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of the joined token set of each side, and counts of its letter pairs (blanks around tokens) by bucket."""
+    counts, sizes = np.zeros((len(sides), buckets), np.float32), np.zeros(len(sides), np.int64)
+    place: dict[str, int] = {}
+    for i, side in enumerate(sides):
+        joined = " " + " ".join(set(side.split())) + " "
+        sizes[i] = len(joined) - 2
+        seen: dict[str, int] = {}
+        for a, b in zip(joined, joined[1:]):
+            seen[a + b] = seen.get(a + b, 0) + 1
+        for gram, n in seen.items():
+            for k in range(n):  # the second of a pair is another element than the first
+                counts[i, place.setdefault(f"{gram}{k}", zlib.crc32(f"{gram}{k}".encode("utf-8", "surrogatepass")) % buckets)] += 1
+    return sizes, counts
+
+
+def alike_pairs(texts: list[str], patterns: list[str], cutoff: float, buckets: int = 512) -> list[tuple[int, int, float]]:
+    """(text, pattern, token-set ratio) of all pairs that reach ``cutoff`` by the comparison of whole token sets.
+
+    Exact: such token sets are at most (1 - cutoff) of their letters apart in single insertions and deletions, of which
+    each changes three letter pairs at most, in whatever order the tokens stand. So they share at least a number of
+    letter pairs, and a product of counts by bucket, which is never below the number shared, leaves out the others.
+    """
+    apart = 1 - cutoff / 100
+    (la, a), (lb, b) = _gram_counts(texts, buckets), _gram_counts(patterns, buckets)
+    out = []
+    order = np.argsort(lb, kind="stable")
+    sizes, b = lb[order], b[order]
+    for i in np.flatnonzero(la > 0):
+        first, last = np.searchsorted(sizes, la[i] * (1 - apart) / (1 + apart) - 1e-6), np.searchsorted(sizes, la[i] * (1 + apart) / (1 - apart) + 1e-6, "right")
+        first = max(first, int(np.searchsorted(sizes, 1)))
+        if first >= last:
+            continue
+        letters = la[i] + sizes[first:last]
+        for j in np.flatnonzero(b[first:last] @ a[i] >= (letters + 2 - 3 * apart * letters) / 2 - 1e-3):
+            k = int(order[first + j])
+            got = token_set_ratio(texts[i], patterns[k])
+            if got >= cutoff:
+                out.append((int(i), k, got))
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
