@@ -1,8 +1,9 @@
 """What UTF-8 text looks like when it is read by a single-byte code page.
 
-A unit is the image of one plausible character (a Latin, Greek or Cyrillic letter, a sign or a typographic mark)
-whose UTF-8 bytes were read by one code page. Units are generated from the code pages of the Python library, so
-their number is bounded by (code pages) x (plausible characters).
+A unit is the image of one plausible character (a Latin, Greek, Cyrillic or mathematical letter, a sign or a typographic
+mark) whose UTF-8 bytes were read by one code page. Text misread more than once holds images of images, so every
+character that a code page produces beyond ASCII is plausible too. Units are generated from the code pages of the
+Python library, so their number is bounded by (code pages) x (plausible characters).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import lru_cache
 #: Code pages by which text is commonly misread (names of codecs).
 PAGES = ["cp1252", "latin-1", "cp1250", "mac_roman", "cp437", "cp850", "cp852", "iso8859-15", "cp1254", "cp1257", "cp1251", "iso8859-2"]
 #: Ranges of characters that budget texts plausibly contain beyond ASCII (first, last code point).
-PLAUSIBLE = [(0xA0, 0x17F), (0x2C6, 0x2DD), (0x370, 0x3FF), (0x400, 0x45F), (0x2010, 0x203A), (0x20A0, 0x20BF), (0x2100, 0x2126), (0x2190, 0x2193), (0x2200, 0x2265), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF)]
+PLAUSIBLE = [(0xA0, 0x17F), (0x2C6, 0x2DD), (0x370, 0x3FF), (0x400, 0x45F), (0x2010, 0x203A), (0x20A0, 0x20BF), (0x2100, 0x2126), (0x2190, 0x2193), (0x2200, 0x2265), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF), (0x1D400, 0x1D7FF)]
 
 
 @lru_cache(maxsize=1)
@@ -35,25 +36,26 @@ def images() -> dict[str, list[str]]:
 def units() -> dict[str, dict[str, str]]:
     """unit -> {code page: character it stands for}."""
     out: dict[str, dict[str, str]] = {}
-    for first, last in PLAUSIBLE:
-        for cp in range(first, last + 1):
-            c = chr(cp)
-            data = c.encode()
-            for page, row in images().items():
-                unit = "".join(row[b] for b in data)
-                if all(ord(x) > 0x7F for x in unit):
-                    out.setdefault(unit, {})[page] = c
+    plausible = {chr(cp) for first, last in PLAUSIBLE for cp in range(first, last + 1)} | {c for row in images().values() for c in row if ord(c) > 0x7F}
+    for c in sorted(plausible):
+        data = c.encode()
+        for page, row in images().items():
+            unit = "".join(row[b] for b in data)
+            if all(ord(x) > 0x7F for x in unit):
+                out.setdefault(unit, {})[page] = c
     return out
 
 
+def _branch(tails: set[str]) -> str:
+    """The tails as a tree by their first letters, longest first."""
+    by: dict[str, set[str]] = {}
+    for t in tails - {""}:
+        by.setdefault(t[0], set()).add(t[1:])
+    out = "|".join(re.escape(head) + _branch(rest) for head, rest in sorted(by.items()))
+    return f"(?:{out})" + "?" * ("" in tails) if by else ""
+
+
 @lru_cache(maxsize=1)
 def unit_pattern() -> re.Pattern:
-    """Finds units, longest first. Units start with the image of a lead byte, so the alternation is by first letter."""
-    by: dict[str, dict[int, set[str]]] = {}
-    for u in units():
-        by.setdefault(u[0], {}).setdefault(len(u), set()).add(u[1:])
-    parts = []
-    for head, tails in by.items():
-        rest = sorted((t for ts in tails.values() for t in ts), key=lambda t: (-len(t), t))
-        parts.append(re.escape(head) + "(?:" + "|".join(map(re.escape, rest)) + ")")
-    return re.compile("|".join(parts))
+    """Finds units, longest first."""
+    return re.compile(_branch(set(units())))

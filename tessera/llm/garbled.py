@@ -130,10 +130,10 @@ class Restorer:
         self.table = {ord(self.private[u]): c for u, c in mapping.items()}
         self.find = unit_pattern()
 
-    def restore(self, text: str) -> tuple[str, bool]:
+    def restore(self, text: str, passes: int = PASSES) -> tuple[str, bool]:
         """The restored text, and whether any unit was replaced."""
         changed = False
-        for _ in range(PASSES):
+        for _ in range(passes):
             marked = self.find.sub(lambda m: self.private.get(m.group(), m.group()), text)
             if marked == text:
                 break
@@ -141,13 +141,43 @@ class Restorer:
         return text, changed
 
 
+def _after(rows: DataFrame, mapping: dict[str, dict[str, str]], passes: int) -> DataFrame:
+    """The texts after so many passes, of those rows that the last one changed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by = {s: Restorer(m) for s, m in mapping.items()}
+        for pdf in batches:
+            out = []
+            for source, text in zip(pdf["source"], pdf["text"]):
+                if source in by:
+                    before = by[source].restore(text, passes - 1)[0]
+                    text, changed = by[source].restore(before, 1)
+                    out += [(source, text)] * changed
+            yield pd.DataFrame(out, columns=["source", "text"])
+
+    return rows.mapInPandas(run, "source string, text string")
+
+
 def fit(rows: DataFrame) -> dict[str, dict[str, str]]:
-    """Learn the mapping of each source from rows (source, text). Sources must be few (kinds of source, not files)."""
+    """Learn the mapping of each source from rows (source, text). Sources must be few (kinds of source, not files).
+
+    Units that come out only of a pass (text misread more than once) are counted after it and learned with the others.
+    """
     odd = rows.filter(F.col("text").rlike(_BEYOND)).select("source", "text")
-    counts = odd.mapInPandas(_count, "source string, kind string, symbol string, before string, after string, n long")
-    counts = counts.groupBy("source", "kind", "symbol", "before", "after").agg(F.sum("n").alias("n"))
-    # Bounded: sources x (units + letters of Unicode) x neighbour classes.
-    return learn([tuple(r) for r in counts.collect()])
+    counts: list[tuple] = []
+    mapping: dict[str, dict[str, str]] = {}
+    for passes in range(PASSES):
+        seen = (_after(odd, mapping, passes) if passes else odd).mapInPandas(_count, "source string, kind string, symbol string, before string, after string, n long")
+        # Bounded: sources x (units + letters of Unicode) x neighbour classes.
+        got = [tuple(r) for r in seen.groupBy("source", "kind", "symbol", "before", "after").agg(F.sum("n").alias("n")).collect()]
+        known = {c[:3] for c in counts}
+        fresh = [c for c in got if not passes or c[1] == "u" and c[:3] not in known]
+        if not fresh:
+            break
+        counts += fresh
+        for source, learned in learn(counts).items():
+            mapping[source] = learned | mapping.get(source, {})
+    return mapping
 
 
 def restore(spark: SparkSession, rows: DataFrame, keys: list[str]) -> DataFrame:

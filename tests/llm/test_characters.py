@@ -68,5 +68,23 @@ def test_garbled(spark):
     assert garbled.restore(spark, df.limit(0), ["id"]).count() == 0
 
 
+def misread(text, page, times):
+    for _ in range(times):
+        text = "".join(codepages.images()[page][b] for b in text.encode())
+    return text
+
+
+def test_garbled_more_than_once(spark):
+    odd = [t for t in CLEAN if not t.isascii()] + ["huruf 𝐀𝖿"]
+    pages = codepages.PAGES
+    rows = [((page, 0, i), page, t) for page in pages for i, t in enumerate(odd * 20)] + [((page, times, i), page, misread(t, page, times)) for page in pages for times in (2, 3) for i, t in enumerate(odd)]
+    df = spark.createDataFrame([(k, source, t) for k, (_, source, t) in enumerate(rows)], "id long, source string, text string")
+    got = {rows[r.id][0]: r.restored for r in garbled.restore(spark, df, ["id"]).collect()}
+    assert all(got[k] == t for k, _, t in rows if k[1] == 0)
+    wrong = {(page, times): bad for page in pages for times in (2, 3) if (bad := [t for i, t in enumerate(odd) if got[page, times, i] != t])}
+    print("wrong", sum(map(len, wrong.values())), "of", 2 * len(pages) * len(odd), wrong)
+    assert all(len(bad) <= 0.1 * len(odd) for bad in wrong.values()), wrong
+
+
 def test_units_are_bounded():
     assert 1000 < len(codepages.units()) < 20_000 and all(len(u) > 1 for u in codepages.units())
