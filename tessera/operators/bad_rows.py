@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.numbers import PLAIN_NUMBER, digits
+from tessera.functions.numbers import PLAIN_NUMBER, with_numbers
 
 #: Columns the importer knows (fixed values) and those of them that hold numbers.
 COLUMNS = ["row_id", "judul_rab", "section", "item_per_rab", "volume", "unit", "unit_price", "total_price", "notes"]
@@ -183,4 +183,5 @@ def valid_rows(raw: DataFrame) -> DataFrame:
     """The valid lines as typed rows: blank text is null, the three amounts are doubles."""
     blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
     text = [blank(F.col(c)).alias(c) for c in COLUMNS if c not in NUMERIC]
-    return parse_lines(raw).filter("reason is null").select("line_id", *text, *[digits(F.col(c)).alias(c) for c in NUMERIC])
+    valid = parse_lines(raw).filter("reason is null").select("line_id", *text, *NUMERIC)
+    return with_numbers(valid, {c: F.col(c) for c in NUMERIC})

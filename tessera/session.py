@@ -8,10 +8,10 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Rows of one key from which a group counts as hot. At most total / HOT_ROWS keys can be hot.
-HOT_ROWS = 100_000
+#: Rows of one key from which a group counts as hot, and hot groups that are sent to the rows at most: the others
+#: hold at most 1 / HOT_GROUPS of all rows each.
+HOT_ROWS, HOT_GROUPS = 100_000, 2_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,11 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where none is named (tests), make one."""
+    """Use the folder that spark.checkpoint.dir names. Only in local mode, where one machine holds all, one is made."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc._jsc.sc().isLocal():
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
 
 
@@ -51,21 +53,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], value: str, count: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], value: str, count: str = "n", hot_rows: int = HOT_ROWS, keep: bool = False) -> DataFrame:
     """Give every row the ``value`` of its group, whatever the skew.
 
-    ``groups`` has one row per key with its row ``count``. Groups of ``hot_rows`` rows or more are sent to the
-    rows by broadcast: there are at most (rows / hot_rows) of them, so the broadcast is bounded by construction.
-    All others are joined by shuffle, where no partition key can exceed ``hot_rows`` rows.
-    Rows whose key is not in ``groups`` are dropped; keys must not be null.
+    ``groups`` has one row per key with its row ``count``. The largest groups, of ``hot_rows`` rows or more, are sent
+    to the rows by broadcast: HOT_GROUPS of them at most, whatever the data. All others are joined by shuffle, where
+    no key has more than ``hot_rows`` rows or 1 / HOT_GROUPS of all rows.
+    Rows whose key is not in ``groups`` are dropped, or kept with a null value (``keep``); null keys are in no group.
     """
-    hot = groups.filter(F.col(count) >= hot_rows).select(*keys, F.col(value).alias("_hot"), F.lit(True).alias("_is_hot"))
+    hot = groups.filter(F.col(count) >= hot_rows).orderBy(F.desc(count), *keys).limit(HOT_GROUPS)
+    hot = hot.select(*keys, F.col(value).alias("_hot"), F.lit(True).alias("_is_hot"))
     marked = rows.join(F.broadcast(hot), keys, "left")
     warm = marked.filter(F.col("_is_hot")).drop("_is_hot").withColumnRenamed("_hot", value)
     cold = marked.filter(F.col("_is_hot").isNull()).drop("_hot", "_is_hot")
-    rest = cold.join(groups.filter(F.col(count) < hot_rows).select(*keys, value), keys)
-    return warm.unionByName(rest)
-
-
-def empty_like(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return warm.unionByName(cold.join(groups.select(*keys, value), keys, "left" if keep else "inner"))
