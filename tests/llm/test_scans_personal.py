@@ -121,5 +121,38 @@ def test_skip_edges_are_linear():
     import numpy as np
 
     word, doc = np.array([1, 2, 1, 1, 2, 1]), np.array([0, 0, 0, 0, 1, 1])
-    a, b = personal.skip_edges(word, doc, np.ones(6, bool))
+    a, b = personal.skip_edges(word, np.full(6, -1), doc, np.ones(6, bool))
     assert list(zip(a, b)) == [(0, 2), (2, 3)]
+    a, b = personal.skip_edges(np.array([1, 2, 1]), np.array([7, 7, 7]), np.zeros(3, int), np.ones(3, bool))
+    assert list(zip(a, b)) == [(0, 2), (0, 1), (1, 2)]  # the next equal one, and the next similar ones
+
+
+def test_only_a_skip_edge_decides():
+    """A word in an unclear place is a name if an equal or similar word of its document is one in a clear place."""
+    import numpy as np
+
+    weights = np.zeros((personal.SPACE, personal.L), np.float32)
+    name = personal.LABELS.index("B-NAME")
+    for w in ("Kresnawatu", "KRESNAWATU", "Kresnawati", "Hastarani", "dan", "di", "sini", "Bapak"):
+        ids = personal.feature_ids(w)
+        weights[ids[0][0], name] = -1.5 if w[0].isupper() and w != "Bapak" else -20.0
+    weights[personal.feature_ids("Bapak")[personal.SLOTS.index("-1")][0], name] = 8.0
+    transition = np.zeros((personal.L, personal.L), np.float32)
+    transition[:, [k for k, x in enumerate(personal.LABELS) if k and k != name]] = -30.0
+    text = "Bapak Kresnawatu di sini dan di sini dan Kresnawatu dan KRESNAWATU dan Kresnawati di sini dan Hastarani"
+    model = {"weights": weights, "transition": transition, "skip": np.zeros(6, np.float32)}
+    assert [text[a:b] for a, b, _ in personal.Finder(model).find([text])[0]] == ["Kresnawatu"]
+    model["skip"][5] = 3.0
+    assert [text[a:b] for a, b, _ in personal.Finder(model).find([text])[0]] == ["Kresnawatu", "Kresnawatu", "KRESNAWATU", "Kresnawati"]
+
+
+def test_firms_are_no_names_and_potentials_of_names_hold():
+    r = random.Random(4)
+    texts = [letter(r)[0] for _ in range(500)]
+    texts += [f"Penyedia PT Kresna {b} menyatakan sanggup. Menurut Bapak {a} {b} PT Kresna {b} sudah setuju. Notulen dibuat oleh Bapak {a} {b}." for a, b in zip(FIRST * 3, LAST * 4)]
+    model = personal.train(texts)
+    assert model["skip"][1 + personal.TYPES.index("NAME")] > 0.3
+    found = personal.Finder(model).find(texts)
+    for t, spans in zip(texts, found):
+        assert not [t[a:b] for a, b, k in spans if k == "NAME" and t[max(0, a - 3) : a] == "PT "]
+        assert "Menurut Bapak" not in t or [1 for a, _, k in spans if k == "NAME"]
