@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -49,58 +50,124 @@ def _points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _windows_best(needle: str, texts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best indel ratio of the needle with every window of each text (rows padded): also shorter ones at both ends."""
-    m = len(needle)
-    p = _points(needle)
-    n, width = texts.shape
-    padded = np.full((n, width + 2 * (m - 1)), _PAD, np.uint32)
-    padded[:, m - 1 : m - 1 + width] = texts
-    windows = np.lib.stride_tricks.sliding_window_view(padded, m, axis=1)
-    full = np.uint64((1 << m) - 1)
-    table = {int(c): np.uint64(sum(1 << i for i in range(m) if p[i] == c)) for c in set(p.tolist())}
-    masks = np.zeros(padded.shape, np.uint64)
-    for c, v in table.items():
-        masks[padded == c] = v
-    masks = np.lib.stride_tricks.sliding_window_view(masks, m, axis=1)
-    s = np.full(windows.shape[:2], full, np.uint64)
-    for k in range(m):
-        u = s & masks[:, :, k]
-        s = ((s + u) | (s - u)) & full
-    common = m - np.bitwise_count(s).astype(np.int32)
-    start = np.arange(windows.shape[1])[None, :] - (m - 1)
-    real = np.minimum(start + m, lengths[:, None]) - np.maximum(start, 0)
-    value = np.where(real > 0, 200.0 * common / (m + np.maximum(real, 0)), 0.0)
-    return value.max(axis=1)
+class _Block:
+    """Texts of like length side by side, as numbers of the needles' letters, with running counts of each letter."""
+
+    def __init__(self, texts: list[str], letters: np.ndarray, margin: int):
+        self.lengths = np.array([len(t) for t in texts])
+        self.margin = margin
+        width = int(self.lengths.max())
+        padded = np.full((len(texts), width + 2 * margin), _PAD, np.uint32)
+        for k, t in enumerate(texts):
+            padded[k, margin : margin + len(t)] = _points(t)
+        at = np.minimum(np.searchsorted(letters, padded), len(letters) - 1)
+        self.codes = np.where(letters[at] == padded, at, len(letters)).astype(np.uint16)
+        kind = np.int16 if padded.shape[1] < 32_000 else np.int32
+        self.sums = np.zeros((len(letters), len(texts), padded.shape[1] + 1), kind)
+        for c in range(len(letters)):
+            np.cumsum(self.codes == c, axis=1, dtype=kind, out=self.sums[c, :, 1:])
+        self.totals = self.sums[:, :, -1]
+        self.sizes: dict[int, np.ndarray] = {}
+
+    def both(self, m: int) -> np.ndarray:
+        """Letters of needle and window together, for each window; windows outside a text have none of its letters."""
+        if m not in self.sizes:
+            start = np.arange(self.codes.shape[1] - 2 * self.margin + m - 1)[None, :] - (m - 1)
+            real = np.minimum(start + m, self.lengths[:, None]) - np.maximum(start, 0)
+            self.sizes[m] = (m + np.maximum(real, 0)).astype(np.float32)
+        return self.sizes[m]
+
+    def best(self, own: np.ndarray, above: np.ndarray) -> np.ndarray:
+        """Best indel ratio of a needle (numbers of its letters) with the windows of each text, also the shorter ones at
+        both ends. What cannot be ``above`` the given value of its text is left out; a text without others gets 0.
+
+        The bound: the letters that needle and window have in common, each as often as both have it, are never fewer
+        than their longest common subsequence. It is tried for whole texts first.
+        """
+        m = len(own)
+        letters, times = np.unique(own, return_counts=True)
+        out = np.zeros(len(self.lengths))
+        most = np.minimum(self.totals[letters], times[:, None]).sum(axis=0)
+        rows = np.flatnonzero((200.0 * most / (m + most) > above - 1e-9) & (self.lengths >= m))
+        if not len(rows):
+            return out
+        first, last = self.margin - (m - 1), self.codes.shape[1] - self.margin
+        upper = np.zeros((len(rows), last - first), np.int16)
+        for c, n in zip(letters, times):
+            s = self.sums[c] if len(rows) == len(out) else self.sums[c][rows]
+            upper += np.minimum(s[:, first + m : last + m] - s[:, first:last], n).astype(np.int16)
+        both = self.both(m)[rows]
+        near, spots = np.nonzero(upper > (above[rows, None] / 200.0 - 1e-6).astype(np.float32) * both)
+        full = np.uint64((1 << m) - 1)
+        table = np.zeros(int(self.codes.max()) + 1, np.uint64)
+        for k, c in enumerate(own):
+            if c < len(table):
+                table[c] |= np.uint64(1 << k)
+        for a in range(0, len(near), 1 << 18):
+            i, j = near[a : a + (1 << 18)], spots[a : a + (1 << 18)]
+            s = np.full(len(i), full, np.uint64)
+            for k in range(m):
+                u = s & table[self.codes[rows[i], first + j + k]]
+                s = ((s + u) | (s - u)) & full
+            np.maximum.at(out, rows[i], 200.0 * (m - np.bitwise_count(s).astype(float)) / both[i, j])
+        return out
+
+
+def _exact_partial(text: str, needle: str, above: float) -> float:
+    """Partial ratio of one pair, or 0 if it cannot be ``above`` the given value."""
+    short, long = sorted((text, needle), key=len)
+    if not short:
+        return 100.0 if not long else 0.0
+    letters = Counter(long)
+    shared = sum(min(n, letters[c]) for c, n in Counter(short).items())
+    if 200.0 * shared / (len(short) + shared) <= above - 1e-9:
+        return 0.0
+    return max(_partial_slow(short, long), _partial_slow(long, short) if len(short) == len(long) else 0.0)
 
 
-def partial_ratios(texts: list[str], needle: str) -> np.ndarray:
-    """Partial ratio of each text with the needle: the best ratio of the shorter with all windows of the longer.
+#: Needles up to this length are compared by machine words; cells of a block of texts.
+_WORD_BITS, _CELLS = 63, 150_000
+
+
+def best_partial(texts: list[str], needles: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The highest partial ratio of each text from ``threshold``, and the first needle that has it; -1 if none has.
 
-    Both empty count 100, one empty 0; of equal lengths both ways are tried.
+    A partial ratio is the best ratio of the shorter side with all windows of the longer; both empty count 100, one
+    empty 0; of equal lengths both ways are tried.
     """
-    out = np.zeros(len(texts))
-    rows = [i for i, t in enumerate(texts) if t and needle and len(t) >= len(needle)]
-    if not needle:
-        return np.array([100.0 if not t else 0.0 for t in texts])
-    if rows and len(needle) <= 63:
-        rows.sort(key=lambda i: len(texts[i]))
-        for a in range(0, len(rows), 512):
-            part = rows[a : a + 512]
-            lengths = np.array([len(texts[i]) for i in part])
-            block = np.full((len(part), int(lengths.max())), _PAD, np.uint32)
-            for k, i in enumerate(part):
-                block[k, : lengths[k]] = _points(texts[i])
-            out[part] = _windows_best(needle, block, lengths)
-    else:
-        for i in rows:
-            out[i] = _partial_slow(needle, texts[i])
-    for i, t in enumerate(texts):
-        if t and len(t) == len(needle):
-            out[i] = max(out[i], _partial_slow(t, needle))
-        elif t and len(t) < len(needle):
-            out[i] = _partial_slow(t, needle)
-    return out
+    best, which = np.full(len(texts), threshold - 1e-6), np.full(len(texts), -1)
+    letters = np.unique(np.concatenate([_points(x) for x in needles if x] or [_points(" ")]))
+    coded = [np.searchsorted(letters, _points(x)) for x in needles]
+    margin = min(_WORD_BITS, max(map(len, needles), default=1)) - 1
+    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
+    groups, a = [[i] for i, t in enumerate(texts) if not t], 0
+    while a < len(order):
+        n = 1
+        while a + n < len(order) and (n + 1) * (len(texts[order[a + n]]) + 2 * margin) <= _CELLS:
+            n += 1
+        groups.append(order[a : a + n])
+        a += n
+    for g in groups:
+        mine = np.array(g)
+        block = _Block([texts[i] for i in g], letters, margin) if texts[g[0]] else None
+        for k, needle in enumerate(needles):
+            got = np.zeros(len(g))
+            if block is not None and 0 < len(needle) <= _WORD_BITS:
+                got = block.best(coded[k], best[mine])
+            for j, i in enumerate(g):  # sorted by length: those behind are longer
+                if len(texts[i]) > len(needle) and 0 < len(needle) <= _WORD_BITS:
+                    break
+                got[j] = max(got[j], _exact_partial(texts[i], needle, best[i]))
+            higher = (got > best[mine]) & (got >= threshold)
+            best[mine] = np.where(higher, got, best[mine])
+            which[mine] = np.where(higher, k, which[mine])
+    return best, which
+
+
+def partial_ratios(texts: list[str], needle: str) -> np.ndarray:
+    """Partial ratio of each text with the needle."""
+    best, which = best_partial(texts, [needle], 0.0)
+    return np.where(which >= 0, best, 0.0)
 
 
 def _partial_slow(short: str, long: str) -> float:

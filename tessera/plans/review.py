@@ -10,9 +10,6 @@ from tessera.operators import contains, detect, learning, report, sheets, store
 from tessera.operators.score import LABELS, SEVERITY, Settings
 from tessera.session import cut, table
 
-STRICT = Settings(fuzzy=False)
-
-
 def _items(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "review_items")
 
@@ -20,7 +17,7 @@ def _items(s: SparkSession, d: str) -> DataFrame:
 def _texts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Items with their normalised text, and the distinct texts."""
     items = cut(_items(s, d).select("item_id", T.normalize(F.col("original_text")).alias("text")))
-    return items, items.select("text").distinct()
+    return items, cut(items.select("text").distinct())
 
 
 def _rules(s: SparkSession, d: str) -> DataFrame:
@@ -48,9 +45,8 @@ def rule_matches_by_join(s: SparkSession, d: str) -> DataFrame:
 
 def fuzzy_matches(s: SparkSession, d: str) -> DataFrame:
     items, texts = _texts(s, d)
-    texts = cut(texts)
     rest = texts.join(detect.first_rule(texts, _rules(s, d)).select("text"), "text", "left_anti")
-    got = detect.fuzzy_keywords(s, rest, table(s, d, "nac_keywords"), STRICT.fuzzy_threshold)
+    got = detect.fuzzy_keywords(s, rest, table(s, d, "nac_keywords"), Settings().fuzzy_threshold)
     return items.join(got, "text").select("item_id", "keyword_id", F.round("fuzzy", 2).alias("fuzzy_score"))
 
 
@@ -64,71 +60,55 @@ def allowable_contained(s: SparkSession, d: str) -> DataFrame:
 
 def allowable_scores(s: SparkSession, d: str) -> DataFrame:
     items, texts = _texts(s, d)
-    return items.join(detect.allowable(cut(texts), table(s, d, "allowable_keywords")), "text").select("item_id", F.round("allowable_score", 2).alias("allowable_score"), "allowable_keyword")
+    return items.join(detect.allowable(texts, table(s, d, "allowable_keywords")), "text").select("item_id", F.round("allowable_score", 2).alias("allowable_score"), "allowable_keyword")
 
 
-def _reviewed(s: SparkSession, d: str, settings: Settings = STRICT, similar: bool = False) -> DataFrame:
-    terms = table(s, d, "allowable_keywords")
-    return detect.review(s, _items(s, d), table(s, d, "nac_keywords"), table(s, d, "nac_synonyms"), terms if similar else terms.limit(0), table(s, d, "exceptions"), table(s, d, "feedback"), settings)
+def _dictionaries(s: SparkSession, d: str) -> list[DataFrame]:
+    return [table(s, d, n) for n in ("nac_keywords", "nac_synonyms", "allowable_keywords", "exceptions", "feedback")]
 
 
-def review(s: SparkSession, d: str) -> DataFrame:
+def _reviewed(s: SparkSession, d: str) -> DataFrame:
     """The whole review: rules, fuzzy keywords, allowable terms, exceptions, feedback, scan quality, score and label."""
-    out = _reviewed(s, d, Settings(), similar=True)
-    return out.select("item_id", "matched_keyword", "matched_category", "match_type", "fuzzy_score", "allowable_score", "final_confidence", "confidence_label", "manual_review", "suggested_synonym_candidate")
+    return detect.review(s, _items(s, d), *_dictionaries(s, d))
 
 
-def _whole(s: SparkSession, d: str) -> DataFrame:
-    """The whole review with all columns of the items, computed once for the reports over it."""
-    return cut(_reviewed(s, d, Settings(), similar=True))
+def review(s: SparkSession, d: str) -> DataFrame:
+    return _reviewed(s, d).select(
+        "item_id", "matched_keyword", "matched_category", "match_type", "fuzzy_score", "semantic_score", "allowable_score", "final_confidence", "confidence_label", "manual_review",
+        "suggested_synonym_candidate", "suggested_synonym_for_keyword", "synonym_suggestion_confidence",
+    )
 
 
-def review_by_rules(s: SparkSession, d: str) -> DataFrame:
-    return _reviewed(s, d).select("item_id", "matched_keyword", "matched_category", "match_type", "final_confidence", "confidence_label", "manual_review")
+def review_typed(s: SparkSession, d: str) -> DataFrame:
+    """One typed text."""
+    out = detect.review_one(s, "Biaya konsumsi rapat koordinasi", *_dictionaries(s, d))
+    return out.select("row_id", "matched_keyword", "match_type", "final_confidence", "confidence_label", "manual_review")
 
 
-def _exception_hits(s: SparkSession, d: str, settings: Settings) -> DataFrame:
+def _found(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items, texts = _texts(s, d)
-    found = cut(detect.match(s, texts, table(s, d, "nac_keywords"), table(s, d, "nac_synonyms"), settings))
-    hits = detect.exception_for(found.select("text", "keyword_id"), table(s, d, "exceptions"))
-    return items.join(hits, "text").select("item_id", "exception_id", "penalty")
+    return items, cut(detect.match(s, texts, table(s, d, "nac_keywords"), table(s, d, "nac_synonyms"), Settings()))
 
 
 def exception_hits(s: SparkSession, d: str) -> DataFrame:
-    """Of keywords matched by rules only, as in the SQL form."""
-    return _exception_hits(s, d, STRICT)
-
-
-def whole_exception_hits(s: SparkSession, d: str) -> DataFrame:
-    return _exception_hits(s, d, Settings())
+    items, found = _found(s, d)
+    hits = detect.exception_for(found.select("text", "keyword_id"), table(s, d, "exceptions"))
+    return items.join(hits, "text").select("item_id", "exception_id", "penalty")
 
 
-def _feedback_adjustments(s: SparkSession, d: str, settings: Settings) -> DataFrame:
-    items, texts = _texts(s, d)
-    found = cut(detect.match(s, texts, table(s, d, "nac_keywords"), table(s, d, "nac_synonyms"), settings))
+def feedback_adjustments(s: SparkSession, d: str) -> DataFrame:
+    items, found = _found(s, d)
     got = detect.feedback_for(found.select("text", "keyword"), table(s, d, "feedback"))
     return items.join(got, "text").select("item_id", "adjustment")
 
 
-def feedback_adjustments(s: SparkSession, d: str) -> DataFrame:
-    """Of keywords matched by rules only, as in the SQL form."""
-    return _feedback_adjustments(s, d, STRICT)
-
-
-def whole_feedback_adjustments(s: SparkSession, d: str) -> DataFrame:
-    return _feedback_adjustments(s, d, Settings())
-
-
 def _report(of):
-    """A report over the review by rules only, which SQL can express, and the same one over the whole review."""
-
-    def by_rules(s: SparkSession, d: str) -> DataFrame:
-        return of(_reviewed(s, d))
+    """A report over the whole review, which is computed once for it."""
 
-    def whole(s: SparkSession, d: str) -> DataFrame:
-        return of(_whole(s, d))
+    def query(s: SparkSession, d: str) -> DataFrame:
+        return of(cut(_reviewed(s, d).drop("normalized_text")))
 
-    return by_rules, whole
+    return query
 
 
 def _filtered_results(r: DataFrame) -> DataFrame:
@@ -231,11 +211,10 @@ def sheet_lines(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        review, review_by_rules, normalized_items, rule_matches, rule_matches_by_join, fuzzy_matches, allowable_contained, allowable_scores, exception_hits, feedback_adjustments,
-        whole_exception_hits, whole_feedback_adjustments, learning_totals, keyword_aliases, keyword_filter, option_lists, keyword_lookup,
+        review, review_typed, normalized_items, rule_matches, rule_matches_by_join, fuzzy_matches, allowable_contained, allowable_scores, exception_hits, feedback_adjustments, learning_totals, keyword_aliases, keyword_filter, option_lists, keyword_lookup,
         synonyms_with_keywords, store_deactivated, store_deleted, store_inserted, text_chunks, item_names, semantic_matches, sheet_lines,
     )
-} | {f"learning_{n}": _learning(n) for n in ("not_confirmed", "confirmed", "new_keywords", "synonyms", "pairs", "exception_candidates")} | {n: q for name, of in REPORTS.items() for n, q in zip((name, f"whole_{name}"), _report(of))}
+} | {f"learning_{n}": _learning(n) for n in ("not_confirmed", "confirmed", "new_keywords", "synonyms", "pairs", "exception_candidates")} | {name: _report(of) for name, of in REPORTS.items()}
 
 # --- SQL ------------------------------------------------------------------------------------------------------
 
@@ -265,10 +244,52 @@ rule AS (
   FROM nac_synonyms s LEFT JOIN nac_keywords k ON k.id = s.nac_keyword_id WHERE s.status = 'active'),
 hit AS (
   SELECT text, r.* FROM txt JOIN rule r ON r.pattern <> '' AND contains(text, r.pattern)
-  QUALIFY row_number() OVER (PARTITION BY text ORDER BY c, a, b, id) = 1),
-found AS (
-  SELECT txt.text, coalesce(kind, 'none') AS kind, keyword_id, keyword, category, severity, coalesce(exact, 0) AS exact, coalesce(fuzzy, 0) AS fuzzy
-  FROM txt LEFT JOIN hit USING (text)),
+  QUALIFY row_number() OVER (PARTITION BY text ORDER BY c, a, b, id) = 1)
+"""
+
+#: Longest common subsequence by a bit-parallel recurrence, and letters in common, each as often as both have it.
+_LCS = """(length({a}) - bit_count(list_reduce(list_prepend((1::HUGEINT << length({a})) - 1, list_transform(string_split({b}, ''), lambda c:
+  list_sum(list_transform(range(length({a})), lambda i: CASE WHEN {a}[i + 1] = c THEN 1::HUGEINT << i ELSE 0 END))::HUGEINT)),
+  lambda s, h: ((s + (s & h)) | (s - (s & h))) & ((1::HUGEINT << length({a})) - 1))))"""
+_SAME = "list_sum(list_transform(list_distinct(string_split({a}, '')), lambda c: least(length({a}) - length(replace({a}, c, '')), length({b}) - length(replace({b}, c, '')))))"
+
+#: Fuzzy keywords: all windows of the texts without a rule against all keywords; letters in common leave out most.
+_FUZZY = f""",
+listed AS (SELECT keyword, min(ord) AS place, arg_max(id, ord) AS id, length(keyword) AS m FROM (
+  SELECT *, row_number() OVER (ORDER BY category, keyword, id) AS ord FROM nac_keywords WHERE status = 'active' AND keyword IS NOT NULL) GROUP BY keyword HAVING keyword <> ''),
+rest AS (SELECT text, length(text) AS n FROM txt ANTI JOIN hit USING (text) WHERE text <> ''),
+win AS MATERIALIZED (
+  SELECT DISTINCT text, m, unnest(list_transform(range(2 - m, n + 1), lambda i: text[greatest(i, 1):least(i + m - 1, n)])) AS w FROM rest, (SELECT DISTINCT m FROM listed) WHERE n >= m),
+near AS (SELECT keyword, place, id, m, w FROM (SELECT DISTINCT m, w FROM win) JOIN listed USING (m) WHERE 200.0 * {_SAME.format(a='keyword', b='w')} >= 77.9 * (m + length(w))),
+close AS MATERIALIZED (SELECT keyword, place, id, m, w, 200.0 * {_LCS.format(a='keyword', b='w')} / (m + length(w)) AS v FROM near),
+turned AS (SELECT DISTINCT text, place, id, unnest(list_transform(range(2 - n, m + 1), lambda i: keyword[greatest(i, 1):least(i + n - 1, m)])) AS w FROM rest JOIN listed ON n <= m),
+fuz AS MATERIALIZED (SELECT text, arg_min(id, (-v, place)) AS keyword_id, max(v) AS fuzzy FROM (
+  SELECT text, place, id, v FROM win JOIN close USING (w, m)
+  UNION ALL SELECT text, place, id, 200.0 * {_LCS.format(a='text', b='w')} / (length(text) + length(w)) FROM turned) WHERE v >= 78 GROUP BY text)"""
+
+#: Allowable terms: token sets in common, and, where the lengths allow it, the letters of what is not.
+_ALLOWED = f""",
+term AS MATERIALIZED (SELECT pattern, min(keyword) AS keyword, list_distinct(string_split(pattern, ' ')) AS b FROM (SELECT {_norm('keyword')} AS pattern, keyword FROM allowable_keywords WHERE status = 'active')
+  WHERE pattern <> '' GROUP BY pattern),
+tx AS MATERIALIZED (SELECT text, list_distinct(string_split(text, ' ')) AS a FROM txt WHERE text <> ''),
+share AS MATERIALIZED (SELECT text, pattern, count(*) AS k, sum(length(w)) AS s FROM (SELECT text, unnest(a) AS w FROM tx) JOIN (SELECT pattern, unnest(b) AS w FROM term) USING (w) GROUP BY ALL),
+sized AS (SELECT text, pattern, a, b, len(a) AS ka, len(b) AS kb, length(array_to_string(a, ' ')) AS la, length(array_to_string(b, ' ')) AS lb FROM tx, term),
+by_words AS (SELECT text, pattern, CASE WHEN k IN (len(a), len(b)) THEN 100.0
+    ELSE 200.0 * (s + k - 1) / (s + k - 1 + least(length(array_to_string(a, ' ')), length(array_to_string(b, ' ')))) END AS v
+  FROM share JOIN tx USING (text) JOIN term USING (pattern)),
+spelt AS (SELECT text, pattern, la, lb, coalesce(s + k - 1, 0) AS n, (k IS NOT NULL)::INT AS gap,
+    array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ' ') AS da, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ' ') AS db
+  FROM sized LEFT JOIN share USING (text, pattern)
+  WHERE 200.0 * least(la, lb) >= 87.9 * (la + lb) AND 200.0 * (1 + {_SAME.format(a='pattern', b='text')}) >= 87.9 * (la + lb) AND coalesce(k, 0) NOT IN (ka, kb)),
+by_letters AS (SELECT text, pattern, 200.0 * (n + gap + {_LCS.format(a='db', b='da')}) / (la + lb) AS v FROM spelt),
+alw AS MATERIALIZED (SELECT text, arg_min(keyword, (-v, keyword)) AS allowable_keyword, max(v) AS allowable_score FROM (
+  SELECT text, pattern, 100.0 AS v FROM txt JOIN term ON contains(text, pattern) UNION ALL FROM by_words UNION ALL FROM by_letters) JOIN term USING (pattern) WHERE v >= 88 GROUP BY text)"""
+
+_FOUND = _BASE + _FUZZY + f""",
+found AS MATERIALIZED (
+  SELECT text, kind, keyword_id, keyword, category, severity, exact, fuzzy FROM hit
+  UNION ALL SELECT text, 'fuzzy', keyword_id, keyword, category, severity, 0.0, fuzzy FROM fuz JOIN nac_keywords k ON k.id = keyword_id
+  UNION ALL SELECT text, 'none', NULL, NULL, NULL, NULL, 0.0, 0.0 FROM txt ANTI JOIN hit USING (text) ANTI JOIN fuz USING (text)),
 exn AS (SELECT *, {_norm('pattern')} AS norm FROM exceptions WHERE status = 'active'),
 exh AS (
   SELECT text, e.id AS exception_id, e.action,
@@ -288,15 +309,17 @@ other AS (
   GROUP BY 1),
 adj AS (
   SELECT text, greatest(-30, least(30, CASE WHEN coalesce(keyword, '') <> '' THEN coalesce(own, 0) ELSE 0 END + coalesce(other, 0)))::DOUBLE AS adjustment
-  FROM found LEFT JOIN own USING (keyword) LEFT JOIN other USING (text)),
+  FROM found LEFT JOIN own USING (keyword) LEFT JOIN other USING (text))"""
+
+_REVIEWED = _FOUND + _ALLOWED + f""",
 scored AS (
-  SELECT item.*, keyword AS matched_keyword, category AS matched_category, kind AS match_type, action,
+  SELECT item.*, keyword AS matched_keyword, category AS matched_category, kind AS match_type, action, fuzzy, coalesce(allowable_score, 0.0) AS allowed,
     greatest(0.0, least(100.0, 0.25 * exact + 0.2 * fuzzy + 0.3 * 0.0 + 0.1 * CASE coalesce(severity, 'medium') {' '.join(f"WHEN '{k}' THEN {v}" for k, v in SEVERITY.items())} ELSE 50.0 END
-      + 0.1 * (adjustment + CASE WHEN source_quality = 'ocr' THEN -8 ELSE 0 END) - 0.2 * 0.0 - coalesce(penalty, 0.0)))::DOUBLE AS score
-  FROM item JOIN found USING (text) JOIN adj USING (text) LEFT JOIN exh USING (text)),
+      + 0.1 * (adjustment + CASE WHEN source_quality = 'ocr' THEN -8 ELSE 0 END) - 0.2 * coalesce(allowable_score, 0.0) - coalesce(penalty, 0.0)))::DOUBLE AS score
+  FROM item JOIN found USING (text) JOIN adj USING (text) LEFT JOIN exh USING (text) LEFT JOIN alw USING (text)),
 reviewed AS (
   SELECT *, round(score, 2) AS final_confidence, CASE {' '.join(f"WHEN score <= {m} THEN '{n}'" for m, n in LABELS)} ELSE 'Sangat tinggi' END AS confidence_label,
-    score >= 45 OR coalesce(action = 'manual_review', false) AS manual_review FROM scored)
+    score >= 45 OR score >= 35 AND allowed >= 60 OR coalesce(action = 'manual_review', false) AS manual_review FROM scored)
 """
 
 _RULES = _BASE + "SELECT item_id, kind AS match_type, keyword_id, keyword AS matched_keyword, round(exact, 2) AS exact_score FROM item JOIN hit USING (text)"
@@ -330,6 +353,15 @@ done AS (SELECT doc_id, CASE WHEN r IS NULL THEN [text] ELSE list_append(r.o, r.
 SELECT doc_id, unnest(range(len(cs)))::INT AS part, unnest(cs) AS chunk FROM done
 """
 
+#: The phrase that could become a synonym: the shortest part of 4 to 90 letters, else the first ten words, else the keyword.
+_PHRASE = r""",
+cutup AS (SELECT *, list_filter(list_transform(string_split_regex(coalesce(original_text, ''), '[|;\n\r]+'), lambda x: regexp_replace(x, '^[\s\-:;,.]+|[\s\-:;,.]+$', '', 'g')), lambda x: length(x) BETWEEN 4 AND 90) AS parts,
+    string_split(text, ' ') AS words FROM reviewed),
+chosen AS (SELECT *, coalesce(parts[list_position(list_transform(parts, lambda x: length(x)), list_min(list_transform(parts, lambda x: length(x))))],
+    CASE WHEN len(words) >= 2 THEN array_to_string(words[1:10], ' ') END, trim(coalesce(matched_keyword, ''))) AS phrase FROM cutup),
+phrased AS (SELECT *, match_type = 'fuzzy' AND fuzzy >= 60 AND phrase <> '' AND lower(phrase) <> lower(matched_keyword) AS strong FROM chosen)
+"""
+
 SQL = {
     "normalized_items": f"SELECT item_id, {_norm('original_text')} AS normalized_text FROM review_items",
     "rule_matches": _RULES,
@@ -338,26 +370,32 @@ SQL = {
     + f""", term AS (SELECT {_norm('keyword')} AS pattern, min(keyword) AS keyword FROM allowable_keywords WHERE status = 'active' GROUP BY 1)
 SELECT item_id, allowable_keyword FROM item JOIN (
   SELECT text, min(keyword) AS allowable_keyword FROM txt JOIN term ON pattern <> '' AND contains(text, pattern) GROUP BY 1) USING (text)""",
-    "exception_hits": _BASE + "SELECT item_id, exception_id, penalty FROM item JOIN exh USING (text)",
-    "feedback_adjustments": _BASE + "SELECT item_id, adjustment FROM item JOIN adj USING (text)",
-    "review_by_rules": _BASE + "SELECT item_id, matched_keyword, matched_category, match_type, final_confidence, confidence_label, manual_review FROM reviewed",
-    "filtered_results": _BASE
+    "exception_hits": _FOUND + "SELECT item_id, exception_id, penalty FROM item JOIN exh USING (text)",
+    "feedback_adjustments": _FOUND + "SELECT item_id, adjustment FROM item JOIN adj USING (text)",
+    "fuzzy_matches": _BASE + _FUZZY + " SELECT item_id, keyword_id, round(fuzzy, 2) AS fuzzy_score FROM item JOIN fuz USING (text)",
+    "allowable_scores": _BASE + _ALLOWED + " SELECT item_id, round(allowable_score, 2) AS allowable_score, allowable_keyword FROM item JOIN alw USING (text)",
+    "review": _REVIEWED + _PHRASE + """SELECT item_id, matched_keyword, matched_category, match_type, round(fuzzy, 2) AS fuzzy_score, 0.0::DOUBLE AS semantic_score, round(allowed, 2) AS allowable_score, final_confidence,
+confidence_label, manual_review, CASE WHEN strong THEN phrase END AS suggested_synonym_candidate, CASE WHEN strong THEN matched_keyword END AS suggested_synonym_for_keyword,
+CASE WHEN strong THEN round(fuzzy, 2) ELSE 0.0 END::DOUBLE AS synonym_suggestion_confidence FROM phrased""",
+    "review_typed": _REVIEWED.replace("FROM review_items)", "FROM (SELECT 'redaksi' AS row_id, 'Biaya konsumsi rapat koordinasi' AS original_text, '' AS source_quality))")
+    + "SELECT row_id, matched_keyword, match_type, final_confidence, confidence_label, manual_review FROM reviewed",
+    "filtered_results": _REVIEWED
     + """SELECT item_id, confidence_label FROM reviewed WHERE confidence_label IN ('Sedang', 'Tinggi', 'Rendah') AND manual_review
 AND contains(lower(coalesce(item_per_rab, '') || ' ' || coalesce(original_text, '') || ' ' || coalesce(matched_keyword, '') || ' ' || coalesce(matched_category, '')), 'paket 4')""",
-    "potential_findings": _BASE
+    "potential_findings": _REVIEWED
     + """SELECT item_id, row_id, source_file, page_or_sheet, judul_rab, section, item_per_rab, matched_category, matched_keyword, match_type, final_confidence, confidence_label
 FROM reviewed WHERE confidence_label IN ('Sedang', 'Tinggi', 'Sangat tinggi')""",
-    "review_metrics": _BASE
+    "review_metrics": _REVIEWED
     + """SELECT count(*) AS total, count(*) FILTER (confidence_label IN ('Sedang', 'Tinggi', 'Sangat tinggi')) AS potential,
 count(*) FILTER (confidence_label IN ('Tinggi', 'Sangat tinggi')) AS high, coalesce(max(final_confidence), 0) AS top_confidence, count(*) FILTER (manual_review) AS manual FROM reviewed""",
-    "export_summary": _BASE
+    "export_summary": _REVIEWED
     + r""", priced AS (SELECT *, CASE WHEN regexp_full_match(trim(total_price), '[+-]?(\d+\.?\d*|\.\d+)') THEN total_price::DOUBLE END AS price FROM reviewed)
 SELECT 'count_' || confidence_label AS metric, count(*)::DOUBLE AS value FROM priced GROUP BY 1
 UNION ALL SELECT 'total_value_' || confidence_label, round(coalesce(sum(price), 0), 2) FROM priced GROUP BY 1
 UNION ALL SELECT 'total_items_reviewed', count(*) FROM priced
 UNION ALL SELECT 'count_potential_nac_high_very_high', count(*) FILTER (confidence_label IN ('Tinggi', 'Sangat tinggi')) FROM priced
 UNION ALL SELECT 'total_value_detected_rows', round(coalesce(sum(price), 0), 2) FROM priced""",
-    "all_materials": _BASE
+    "all_materials": _REVIEWED
     + """SELECT item_id, row_id, coalesce(nullif(coalesce(item_per_rab, item_description), ''), '-') AS item, coalesce(nullif(matched_category, ''), '-') AS category,
 final_confidence AS confidence, confidence_label FROM reviewed""",
     **{f"learning_{k}": v.replace("matched_key,", "matched_key AS matched_keyword,", 1) if k == "pairs" else v for k, v in _TOPS.items()},

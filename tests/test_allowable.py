@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tessera.functions import similarity as sim
-from tessera.operators import detect
+from tessera.operators import contains, detect
 from tests.test_review import TERMS
 
 
@@ -47,6 +47,7 @@ def test_allowable_is_brute_force(spark, pairs, monkeypatch):
     monkeypatch.setattr(detect, "TEXT_BLOCK", 150)
     monkeypatch.setattr(detect, "TERM_BLOCK", 25)
     texts, terms = pairs
+    monkeypatch.setattr(contains, "TASK", 20)
     t = spark.createDataFrame([(i, None, w, None, "active", None) for i, w in enumerate(terms)], TERMS)
     got = {r.text: (round(r.allowable_score, 6), r.allowable_keyword) for r in detect.allowable(spark.createDataFrame([(x,) for x in texts], "text string"), t).collect()}
     want = {}
@@ -55,4 +56,6 @@ def test_allowable_is_brute_force(spark, pairs, monkeypatch):
         if -score >= 88:
             want[x] = (round(-score, 6), term)
     assert {x: (got.get(x), want.get(x)) for x in texts if got.get(x) != want.get(x)} == {}
+    spread = detect.allowable(spark.createDataFrame([(x,) for x in texts], "text string"), t, sent=0)
+    assert {r.text: (round(r.allowable_score, 6), r.allowable_keyword) for r in spread.collect()} == got
     assert any(score < 100 for score, _ in want.values())

@@ -24,11 +24,11 @@ def plain(spark, tmp_path_factory):
 def test_reports_are_over_the_whole_review(spark, plain):
     rows = lambda name: [tuple(r) for r in catalog.QUERIES[name](spark, plain).collect()]
     # A misspelt keyword scores 25.28, a part of one 30; an allowable term takes 20 from 55, and 35 with it is for a reviewer.
-    assert {r[0]: r[4:] for r in rows("whole_all_materials")} == {0: (52.5, "Sedang"), 1: (25.28, "Rendah"), 2: (30.0, "Rendah"), 3: (0.0, "Sangat rendah"), 4: (5.0, "Sangat rendah"), 5: (35.0, "Rendah")}
-    assert rows("whole_review_metrics") == [(6, 1, 0, 52.5, 2)]
-    assert [r[0] for r in rows("whole_potential_findings")] == [0]
-    assert sorted(rows("whole_filtered_results")) == [(0, "Sedang"), (5, "Rendah")]
-    summary = dict(rows("whole_export_summary"))
+    assert {r[0]: r[4:] for r in rows("all_materials")} == {0: (52.5, "Sedang"), 1: (25.28, "Rendah"), 2: (30.0, "Rendah"), 3: (0.0, "Sangat rendah"), 4: (5.0, "Sangat rendah"), 5: (35.0, "Rendah")}
+    assert rows("review_metrics") == [(6, 1, 0, 52.5, 2)]
+    assert [r[0] for r in rows("potential_findings")] == [0]
+    assert sorted(rows("filtered_results")) == [(0, "Sedang"), (5, "Rendah")]
+    summary = dict(rows("export_summary"))
     assert summary["count_Rendah"] == 3 and summary["total_value_Rendah"] == 30 and summary["total_items_reviewed"] == 6
 
 
@@ -39,5 +39,5 @@ def test_exceptions_and_feedback_of_misspelt_keywords(spark, tmp_path):
         "feedback": spark.createDataFrame([(i, None, "y", "snack", "Correct NAC", None, None, None) for i in range(2)] + [(5, None, "snak", "snack", "Confidence Too Low", None, None, None)], FEEDBACK),
     }
     folder = stored(spark, tmp_path / "bound", changed)
-    assert [tuple(r) for r in catalog.QUERIES["whole_exception_hits"](spark, folder).collect()] == [(1, 9, 12.0)]
-    assert {r.item_id: r.adjustment for r in catalog.QUERIES["whole_feedback_adjustments"](spark, folder).collect()} == {i: 12.0 if i == 1 else 0.0 for i in range(6)}
+    assert [tuple(r) for r in catalog.QUERIES["exception_hits"](spark, folder).collect()] == [(1, 9, 12.0)]
+    assert {r.item_id: r.adjustment for r in catalog.QUERIES["feedback_adjustments"](spark, folder).collect()} == {i: 12.0 if i == 1 else 0.0 for i in range(6)}

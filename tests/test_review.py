@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import detect, learning, report, sheets, store
+from tessera.operators import contains, detect, learning, report, sheets, store
 from tessera.operators.contains import containing
 from tessera.operators.score import Settings, label
 from tessera.plans import catalog
@@ -13,13 +13,18 @@ from tessera.session import attach
 SMALL = "/root/testdata/sf0.001"
 
 
-def test_containing_is_brute_force(spark):
+def test_containing_is_brute_force(spark, monkeypatch):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 4)))
     texts = sorted({" ".join(word() for _ in range(r.randint(1, 8))) for _ in range(80)})
     patterns = sorted({" ".join(word() for _ in range(r.randint(1, 4))) for _ in range(80)} | {"a", "b c"})
     got = containing(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string"))
     assert {tuple(x) for x in got.collect()} == {(t, p) for t in texts for p in patterns if p in t}
+    # The same where the words' map is too large to be sent, with all frequent words spread over tasks.
+    monkeypatch.setattr(contains, "TASK", 5)
+    spread = containing(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string"), sent=0)
+    rows = [tuple(x) for x in spread.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(t, p) for t in texts for p in patterns if p in t}
 
 
 KEYWORDS = "id long, category string, keyword string, description string, reference string, severity string, status string, created_by string, created_at string, updated_at string, notes string"
@@ -65,6 +70,25 @@ def test_review_golden(spark):
     assert got[100].final_confidence == 51.7 and got[101].match_type == "none" and len(got) == len(rows)
 
 
+def test_keywords_by_meaning(spark, monkeypatch):
+    monkeypatch.setattr(detect, "LISTED", 2)  # keywords in several parts
+    k, s, *_ = dictionaries(spark)
+    words = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 2.0]), (4, None), (5, [1.0, 1.0, 1.0])], "keyword_id long, vector array<double>")
+    texts = ["denda", "katering", "snak", "nihil", "kosong", "lain"]
+    vectors = [[0.0, 3.0], [0.0, 1.0], [0.8, 0.6], [0.6, 0.8], None, [1.0]]
+    rows = spark.createDataFrame(list(zip(texts, vectors)), "text string, vector array<double>")
+    near = detect.semantic(rows, words, 60.0, "text")
+    assert {r.text: (r.keyword_id, round(r.semantic, 6)) for r in near.collect()} == {"denda": (2, 100.0), "katering": (2, 100.0), "snak": (1, 80.0), "nihil": (2, 80.0)}
+    got = {r.text: (r.kind, r.keyword, r.exact, round(r.fuzzy, 2), round(r.semantic, 2)) for r in detect.match(spark, rows.select("text"), k, s, Settings(), near).collect()}
+    assert got["denda"] == ("exact", "denda", 100.0, 100.0, 100.0)  # an equal score lets the exact one stay
+    assert got["katering"] == ("semantic", "konsumsi", 0.0, 95.0, 100.0)  # 100 is over 90 and 95
+    assert got["snak"] == ("fuzzy", "snack", 0.0, 85.71, 80.0)
+    assert got["nihil"] == ("semantic", "konsumsi", 0.0, 0.0, 80.0) and got["kosong"][0] == got["lain"][0] == "none"
+    one = detect.review_one(spark, " Biaya pribadi direksi ", *dictionaries(spark)).collect()
+    assert [(r.row_id, r.matched_keyword, r.final_confidence) for r in one] == [("redaksi", "biaya pribadi", 55.0)]
+    assert detect.review_one(spark, "  ", *dictionaries(spark)).count() == 0
+
+
 def test_rules_inline_or_joined_and_feedback(spark):
     k, s, *_ = dictionaries(spark)
     texts = spark.createDataFrame([(t,) for t in ["biaya konsumsi rapat", "katering", "snack konsumsi", "nihil"]], "text string")
