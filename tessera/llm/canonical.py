@@ -18,22 +18,39 @@ from __future__ import annotations
 
 from functools import reduce
 
+import unicodedata
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.copies import digests, groups
+from tessera.llm.lookalikes import FORM, LOOK, NOTHING, SPACE, tables
 from tessera.session import attach, cut
 
-#: Errors that all words of an entry may have together.
+#: Errors that all words of an entry may have together: as many, or one more than it has words.
 TOGETHER = 4
-#: Letters of the longest token that can name a word.
-LONGEST = 80
 _ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 
+def latin(text: Column) -> Column:
+    """Text with Latin letters in place of other forms and look-alikes, and without marks and what renders as nothing.
+
+    SQL only: one translate() over the tables of the look-alikes, and a replacement of the ligatures.
+    """
+    t = tables()
+    single = np.flatnonzero(np.isin(t["kind"], (SPACE, FORM, LOOK)) & (t["length"] == 1))
+    gone = np.flatnonzero(t["kind"] == NOTHING)
+    made = "".join(map(chr, t["flat"][t["start"][single]]))
+    out = F.translate(text, "".join(map(chr, [*single, *gone])), made)
+    for c in map(chr, range(0xFB00, 0xFB07)):
+        out = F.replace(out, F.lit(c), F.lit(unicodedata.normalize("NFKC", c)))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(out, r"\p{M}+", "")).otherwise(text)
+
+
 def plain(text: Column) -> Column:
     """Lower-case words of letters and digits, one space apart."""
-    t = F.translate(F.lower(text), *_ACCENTS)
+    t = F.translate(F.lower(latin(text)), *_ACCENTS)
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 
@@ -96,9 +113,12 @@ def abbreviated(known: DataFrame, typed: DataFrame) -> DataFrame:
     framed = typed.filter(F.length(bones(F.col("form"))) >= 2).select("form", bones(F.col("form")).alias("bones"), F.substring("form", 1, 1).alias("first"))
     frame = long.select("word", bones(F.col("word")).alias("bones"), F.substring("word", 1, 1).alias("first"))
     equal = frame.join(framed, ["bones", "first"]).select("word", "form")
-    bare = framed.filter(~F.col("form").rlike("^.+[aeiou]|[0-9]") & (F.length("form") >= 3))
+    bare = framed.filter(~F.col("form").rlike("^.+[aeiou]|[0-9]") & (F.length("form") >= 3)).withColumn("key", F.substring("form", 1, 3))
     inside = F.rlike("word", F.concat(F.lit("^"), F.regexp_replace("form", "(.)", "$1.*")))
-    part = frame.drop("bones").join(bare, "first").filter(inside).select("word", "form")
+    # The first letter with any two later ones in their order: the form's first three letters are one of these.
+    later = lambda i: F.transform(F.sequence(i + 1, F.col("size")), lambda j: F.concat(F.substring("word", F.lit(1), F.lit(1)), F.substring("word", i, F.lit(1)), F.substring("word", j, F.lit(1))))
+    keys = long.select("word", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), later)))).alias("key"))
+    part = keys.join(bare, "key").filter(inside).select("word", "form")
     return head.unionByName(equal).unionByName(part).distinct().withColumn("off", F.lit(1))
 
 
@@ -110,9 +130,10 @@ def similar(known: DataFrame, single_words: DataFrame, typed: DataFrame) -> Data
     """
     swap = lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.lit(1)), F.substring("token", i, F.lit(1)), F.substring("token", i + 2, F.lit(99)))
     forms = typed.select("token", F.explode(F.array_distinct(F.array("token", reformed(F.col("token"))))).alias("form"))
-    forms = cut(forms.filter(F.length("form") <= LONGEST))
+    forms = cut(forms)
     single = forms.select("form").distinct()
-    met = misspelt(known, single).unionByName(abbreviated(single_words, single)).join(forms, "form").select("word", "token", "off")
+    longest = known.agg(F.max(F.length("word"))).first()[0] or 0
+    met = misspelt(known, single.filter(F.length("form") <= longest + 3)).unionByName(abbreviated(single_words, single)).join(forms, "form").select("word", "token", "off")
     short = typed.filter(F.length("token").between(3, 4)).select("token", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), swap)).alias("word"))
     met = met.unionByName(short.join(known, "word").select("word", "token", F.lit(1).alias("off")))
     return met.groupBy("word", "token").agg(F.min("off").alias("off"))
@@ -139,14 +160,17 @@ def name(rows: DataFrame, listed: DataFrame) -> DataFrame:
     tokens = texts.select("plain", F.explode(F.array_distinct(words)).alias("token")).filter("token <> ''")
     parts = cut(variants(listed))
     vocabulary = parts.select("word").distinct()
-    met = tokens.join(similar(vocabulary, listed.select(F.explode("words").alias("word")).distinct(), tokens.select("token").distinct()), "token")
+    counts = cut(tokens.groupBy("token").agg(F.count("*").alias("n")))
+    meant = similar(vocabulary, listed.select(F.explode("words").alias("word")).distinct(), counts.select("token"))
+    meant = meant.groupBy("token").agg(F.collect_list(F.struct("word", "off")).alias("m")).join(counts, "token")
+    met = attach(tokens, cut(meant), ["token"], "m").select("plain", "token", F.explode("m").alias("m")).select("plain", "token", "m.word", "m.off")
     # Words written apart: two neighbours that make up a listed word exactly.
     apart = texts.select("plain", F.explode(F.array_distinct(pairs)).alias("token")).filter("token is not null")
     apart = apart.join(vocabulary, F.col("token") == F.col("word")).select("token", "plain", "word", F.lit(0).alias("off"))
     hits = met.select("token", "plain", "word", "off").unionByName(apart).join(parts, "word")
     best_word = hits.groupBy("plain", "entry_id", "form_id", "need", "word").agg(F.min(F.struct("off", "token")).alias("m"))
     full = best_word.groupBy("plain", "entry_id", "form_id", "need").agg(F.count("*").alias("words"), F.count_distinct("m.token").alias("tokens"), F.sum("m.off").alias("off"))
-    full = full.filter(f"words = need and tokens = need and off <= {TOGETHER}").join(listed.select("entry_id", "target_id", F.length("solid").alias("letters")), "entry_id")
+    full = full.filter(f"words = need and tokens = need and off <= greatest({TOGETHER}, need + 1)").join(listed.select("entry_id", "target_id", F.length("solid").alias("letters")), "entry_id")
     best = full.groupBy("plain").agg(F.min(F.struct(F.col("off") - F.col("letters"), "off", "target_id")).alias("b")).select("plain", "b.target_id")
     best = cut(best.join(texts, "plain"))
     found = attach(rows, best, ["plain"], "target_id").select("row_id", "target_id")

@@ -18,6 +18,7 @@ Defined results: null and empty texts are never garbled and come out as they are
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import defaultdict
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.codepages import unit_pattern, units
 
-#: Rounds of expectation-maximisation, passes of restoration, and smoothing of the bigrams.
-EM_ROUNDS, PASSES, SMOOTH = 12, 3, 10.0
+#: Rounds of expectation-maximisation, and smoothing of the bigrams.
+EM_ROUNDS, SMOOTH = 12, 10.0
 _LOST = re.compile("[�\x80-\x9f]")
 _BEYOND = r"[^\x00-\x7F]"
 
@@ -130,10 +131,13 @@ class Restorer:
         self.table = {ord(self.private[u]): c for u, c in mapping.items()}
         self.find = unit_pattern()
 
-    def restore(self, text: str, passes: int = PASSES) -> tuple[str, bool]:
-        """The restored text, and whether any unit was replaced."""
+    def restore(self, text: str, passes: int | None = None) -> tuple[str, bool]:
+        """The text restored until nothing changes, or in so many passes, and whether any unit was replaced.
+
+        It ends: each pass that changes a text makes it shorter.
+        """
         changed = False
-        for _ in range(passes):
+        for _ in itertools.count() if passes is None else range(passes):
             marked = self.find.sub(lambda m: self.private.get(m.group(), m.group()), text)
             if marked == text:
                 break
@@ -166,7 +170,7 @@ def fit(rows: DataFrame) -> dict[str, dict[str, str]]:
     odd = rows.filter(F.col("text").rlike(_BEYOND)).select("source", "text")
     counts: list[tuple] = []
     mapping: dict[str, dict[str, str]] = {}
-    for passes in range(PASSES):
+    for passes in itertools.count():
         seen = (_after(odd, mapping, passes) if passes else odd).mapInPandas(_count, "source string, kind string, symbol string, before string, after string, n long")
         # Bounded: sources x (units + letters of Unicode) x neighbour classes.
         got = [tuple(r) for r in seen.groupBy("source", "kind", "symbol", "before", "after").agg(F.sum("n").alias("n")).collect()]

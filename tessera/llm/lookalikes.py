@@ -129,7 +129,7 @@ def consistent(points: np.ndarray, row: np.ndarray, rows: int, keep: np.ndarray
         points = np.where(change[at], t["flat"][np.minimum(t["start"][source] + offset, len(t["flat"]) - 1)], source).astype(np.uint32)
         row = row[at]
         # Compose marks with what stands before them; one mark of each chain per turn.
-        for _ in range(8):
+        while True:
             mark = (t["kind"][points] == MARK) & np.concatenate([[False], row[1:] == row[:-1]])
             i = np.flatnonzero(mark)
             if not len(i):

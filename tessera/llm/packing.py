@@ -12,8 +12,8 @@ Only the histogram of lengths (at most ``capacity`` counts, whatever the number
 
 Containers with the same content are kept as one run with a count, so the plan is as small as the histogram. The
 plan gives, for each length, which ranks of its items go to which containers; it is sent to the items by broadcast
-and each item finds its container by its length and rank. Ranks are counted per (length, bucket of ids), so a length
-that a third of all items share is spread over many tasks.
+and each item finds its container by its length and rank. Ranks are counted per (length, bucket of ids); a length has
+as many buckets as its items need, so one that a third of all items share is spread over many tasks.
 
 Defined results: an item longer than the capacity is cut into full pieces and a rest, each piece of capacity being
 alone in its container; items of length 0 (null and empty texts) are put in container 0, which holds only them.
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-#: Lengths over capacity / LARGE are grouped; the others are filled in. Groups of rounded lengths. Buckets of ids.
-LARGE, GROUPS, BUCKETS = 8, 40, 64
+#: Lengths over capacity / LARGE are grouped; the others are filled in. Groups of rounded lengths.
+LARGE, GROUPS = 8, 40
+#: Items of a bucket; with more than ROWS x BUCKETS items, buckets grow instead of becoming more (and one per length).
+ROWS, BUCKETS = 50_000, 50_000
 
 
 def best_mix(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], float]]:
@@ -219,11 +221,16 @@ def containers(sized: DataFrame, capacity: int = 2048) -> DataFrame:
     """
     spark = sized.sparkSession
     sized = sized.select("item_id", F.greatest(F.coalesce("length", F.lit(0)), F.lit(0)).cast("long").alias("length"))
-    parts = cut(pieces(sized, capacity).withColumn("bucket", F.pmod(F.xxhash64("item_id", "piece_no"), F.lit(BUCKETS)).cast("int")))
-    counts = parts.filter("length > 0").groupBy("length", "bucket").agg(F.count("*").alias("n")).collect()  # at most capacity x BUCKETS rows
-    by: dict[int, list[int]] = {}
+    parts = cut(pieces(sized, capacity))
+    sizes = {r.length: r.n for r in parts.filter("length > 0").groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    rows = max(ROWS, sum(sizes.values()) // BUCKETS)
+    bucket_df = spark.createDataFrame([(s, -(-n // rows)) for s, n in sizes.items()], "length long, buckets int")
+    bucket = F.pmod(F.xxhash64("item_id", "piece_no"), "buckets").cast("int")
+    bucketed = parts.filter("length > 0").join(F.broadcast(bucket_df), "length").withColumn("bucket", bucket).drop("buckets")
+    counts = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect()  # at most capacity + BUCKETS rows
+    by: dict[int, list[int]] = {s: [0] * -(-n // rows) for s, n in sizes.items()}
     for r in counts:
-        by.setdefault(r.length, [0] * BUCKETS)[r.bucket] = r.n
+        by[r.length][r.bucket] = r.n
     p = plan({s: sum(c) for s, c in by.items()}, capacity)
     offsets = [(s, b, int(o)) for s, c in by.items() for b, o in enumerate(np.cumsum([0, *c[:-1]]))]
     places: dict[int, list[tuple[int, int, int]]] = {}
@@ -231,7 +238,7 @@ def containers(sized: DataFrame, capacity: int = 2048) -> DataFrame:
         places.setdefault(s, []).append((first, n, container))
     offset_df = spark.createDataFrame(offsets, "length long, bucket int, offset long")
     place_df = spark.createDataFrame([(s, sorted(v)) for s, v in places.items()], "length long, places array<struct<first: long, n: long, container: long>>")
-    ranked = parts.filter("length > 0").withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("item_id", "piece_no")) - 1)
+    ranked = bucketed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("item_id", "piece_no")) - 1)
     ranked = ranked.join(F.broadcast(offset_df), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("offset"))
     placed = ranked.join(F.broadcast(place_df), "length")
     mine = F.filter("places", lambda x: (x["first"] <= F.col("rank")) & (F.col("rank") < x["first"] + x["n"]))[0]

@@ -17,11 +17,10 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _typed_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, text) of the costs typed by hand, in one form of characters."""
+    """(row_id, text) of the costs typed by hand."""
     items = table(spark, sf_dir, "review_items").filter("section = 'Biaya Umum'")
     last = F.element_at(F.split("original_text", r"\s\|\s"), -1)
-    typed = items.select(F.col("item_id").alias("row_id"), F.coalesce(F.when(F.trim("item_per_rab") != "", F.col("item_per_rab")), last).alias("text"))
-    return lookalikes.one_form(typed, ["row_id"]).select("row_id", "text")
+    return items.select(F.col("item_id").alias("row_id"), F.coalesce(F.when(F.trim("item_per_rab") != "", F.col("item_per_rab")), last).alias("text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
