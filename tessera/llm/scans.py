@@ -27,12 +27,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import attach, cut
+from tessera.session import attach, bounded_sample, cut
 
 #: Share of all words from which a word is in the list; pages and rare words to learn from; passes over the examples.
 SHARE, PAGES, TYPES, EPOCHS = 1e-5, 3000, 6000, 4
 #: How much more frequent a word must be than the one it replaces: usual, and if the rare one is in the list.
 RATIO, RATIO_LISTED = 12, 60
+#: Share of a file's pages on which a running head stands free at least, or stands at all (pages that begin within a sentence).
+HEADED, MOSTLY = 0.2, 0.5
+#: Letters from which a word may have three misread ones.
+THREE = 9
 #: Marks that break a word at a line end (fixed values: hyphen, soft and other hyphens, dashes, not sign, tilde, equals).
 BREAKS = "-­‐‑‒–—¬~="
 #: A line that can number a page: a short number with little else.
@@ -146,6 +150,7 @@ class Editor:
     def __init__(self, listed: dict[str, int], model: Perceptron):
         self.listed, self.model = listed, model
         self.known: dict[str, str | None] = {}
+        self.prefixes = {w[:n] for w in listed for n in range(len(w) + 1)}
         self.most = max(listed.values(), default=0)
 
     def correct(self, token: str) -> str | None:
@@ -162,7 +167,7 @@ class Editor:
 
     def _propose(self, w: str) -> str | None:
         letters = sum(c.isalpha() for c in w)
-        if len(w) < 3 or len(w) > 40 or letters * 2 < len(w):
+        if len(w) < 3 or letters * 2 < len(w):
             return None
         own = self.listed.get(w, 0)
         if "-" in w.strip("-"):  # a doubled word: each part by itself
@@ -176,39 +181,39 @@ class Editor:
         least = max(RATIO, own * RATIO_LISTED)
         if least > self.most:
             return None
-        sites: list[tuple[float, int, str]] = []
-        keeps = []
-        for i in range(len(w)):
-            s = self.model.scores(character_features(w, i))
-            keep = s.get("K", 0.0)
-            keeps.append(keep)
-            sites += [(v - keep, i, o) for o, v in s.items() if o != "K"]
-        sites.sort(key=lambda x: (-x[0], x[1], x[2]))
-        new = [(gain, i, _becomes(w[i], o)) for gain, i, o in sites[:60]]
-        best: tuple[float, str] | None = None
-        for gain, i, r in new:
-            v = w[:i] + r + w[i + 1 :]
-            if self.listed.get(v, 0) >= least and (best is None or (gain, v) > best):
-                best = gain, v
-        # Two letters read for one, or one misread letter beside another; letters apart only if nothing else is found.
-        by: dict[int, list[tuple[float, str]]] = defaultdict(list)
-        for gain, i, r in new:
-            by[i].append((gain, r))
-        for i, here in by.items():
-            for gain, r in here:
-                for other, q in by.get(i + 1, ()):
-                    v = w[:i] + r + q + w[i + 2 :]
-                    if self.listed.get(v, 0) >= least and (best is None or (gain + other - 1.0, v) > best):
-                        best = gain + other - 1.0, v
-        if best is None:
-            for gain, i, r in new[:12]:
-                for other, j, q in new[:30]:
-                    if j > i + 1:
-                        v = w[:i] + r + w[i + 1 : j] + q + w[j + 1 :]
-                        if self.listed.get(v, 0) >= least and (best is None or (gain + other - 1.0, v) > best):
-                            best = gain + other - 1.0, v
+        # One letter, or two that stand together; letters apart only if nothing else is found; three in long words.
+        found = self._reach(w, least, 2)
+        close = [x for x in found if x[2] <= 1]
+        best = max(close or found or (self._reach(w, least, 3) if len(w) >= THREE else []), default=None)
         return best[1] if best else None
 
+    def _reach(self, w: str, least: int, edits: int) -> list[tuple[float, str, int]]:
+        """All words of the list that up to so many operations of the model make of ``w``: (gain, word, how far the
+        operations stand apart). What has been made so far must begin a word of the list, so few ways are followed."""
+        sites: dict[int, list[tuple[float, str]]] = {}
+
+        def options(i: int) -> list[tuple[float, str]]:
+            if i not in sites:
+                s = self.model.scores(character_features(w, i))
+                sites[i] = [(v - s.get("K", 0.0), _becomes(w[i], o)) for o, v in s.items() if o != "K"]
+            return sites[i]
+
+        out = []
+        open_ = [(0, "", 0.0, 0, -1, -1)]  # place, made, gain, operations, first and last place of one
+        while open_:
+            i, made, gain, used, first, last = open_.pop()
+            if i == len(w):
+                if used and self.listed.get(made, 0) >= least:
+                    out.append((gain, made, last - first))
+                continue
+            if made + w[i] in self.prefixes:
+                open_.append((i + 1, made + w[i], gain, used, first, last))
+            if used < edits:
+                for more, r in options(i):
+                    if made + r in self.prefixes:
+                        open_.append((i + 1, made + r, gain + more - (used > 0), used + 1, first if used else i, i))
+        return out
+
 
 # --- lines ----------------------------------------------------------------------------------------------------
 
@@ -278,7 +283,7 @@ class Reader:
         """A name for each line. Furniture is a run of lines from an edge inwards; a head must be like the file's line."""
         n = len(lines)
         out = ["body"] * n
-        for order in (range(min(2, n)), range(n - 1, max(1, n - 3), -1)):
+        for order in (range(n), range(n - 1, -1, -1)):
             for i in order:
                 if out[i] == "body":
                     out[i] = self._name(lines, i, head)
@@ -357,26 +362,38 @@ def join_features(left: str, mark: str, right: str, listed: dict[str, int]) -> l
 # --- Spark ----------------------------------------------------------------------------------------------------
 
 
-def _norm_line(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
-
-
 def heads(pages: DataFrame) -> DataFrame:
-    """(source_file, head, n): the line that most pages of a file have at an edge, if it can be a running head."""
-    lines = F.filter(F.transform(F.split("text", "\n"), _norm_line), lambda x: x != "")
-    edges = F.array_distinct(F.concat(F.slice(lines, 1, 2), F.slice(F.reverse(lines), 1, 2)))
-    each = pages.select("source_file", "page", F.explode(edges).alias("line"))
+    """(source_file, head, free, pages): the line that most pages of a file have at an edge, in any form, if it can be a
+    running head, and on how many pages it stands free: not continued by the next line in lower case or with an amount."""
+    goes_on = F.col("e.next").rlike(r"^(\p{Ll}|\d[\d.,]*\s\p{Ll})") & ~F.col("e.next").rlike(r"^\D{0,10}\d{1,4}(\s*\D{1,8}\d{1,4})?$")
+    # Only the two lines at each edge and the ones behind them are looked at.
+    full = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    cut_ = pages.select("source_file", "page", full.alias("l")).select("source_file", "page", F.concat(F.slice("l", 1, 3), F.slice("l", F.greatest(F.lit(4), F.size("l") - 1), 2)).alias("l"), F.size("l").alias("all"))
+    tidy = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    cut_ = cut_.select("source_file", "page", F.transform("l", tidy).alias("l"), "all")
+    at = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: (i <= 2) | (i > F.size("l") - 2))
+    placed = F.transform(at, lambda i: F.struct(F.lower(F.element_at("l", i)).alias("line"), F.coalesce(F.try_element_at("l", i + 1), F.lit("")).alias("next")))
+    each = cut_.filter(F.size("l") > 0).select("source_file", "page", F.explode(F.array_distinct(placed)).alias("e")).select("source_file", "page", "e.line", goes_on.alias("on"))
     each = each.filter((F.length("line") >= 8) & ~F.col("line").rlike(r"[.,;:\-–¬]$") & F.col("line").rlike(r"\p{L}+.*\s.*\p{L}") & ~F.col("line").rlike(r"^(halaman|page|hal\.?|hlm\.?)\s*\d+"))
-    counted = each.distinct().groupBy("source_file", "line").agg(F.count("*").alias("pages")).filter("pages > 1")
-    best = counted.groupBy("source_file").agg(F.max(F.struct("pages", F.length("line"), "line")).alias("b"))
-    return best.select("source_file", F.col("b.line").alias("head"))
+    each = each.groupBy("source_file", "line", "page").agg(F.min("on").alias("on"))
+    counted = cut(each.groupBy("source_file", "line").agg(F.count("*").alias("pages"), F.count_if(~F.col("on")).alias("free")))
+    # Forms of one line: those that begin or end with the same two words, and are a part of the longest or nearly so.
+    words = F.split("line", " ")
+    ends = F.array(F.concat(F.lit("<"), F.array_join(F.slice(words, 1, 2), " ")), F.concat(F.lit(">"), F.array_join(F.slice(F.reverse(words), 1, 2), " ")))
+    forms = counted.withColumn("key", F.explode(ends))
+    longest = forms.groupBy("source_file", "key").agg(F.max(F.struct(F.length("line"), "line")).alias("l")).select("source_file", "key", F.col("l.line").alias("whole"))
+    same = F.when(F.startswith("key", F.lit("<")), F.left("whole", F.length("line"))).otherwise(F.right("whole", F.length("line")))
+    forms = forms.join(longest, ["source_file", "key"]).filter(F.levenshtein("line", same) <= F.length("line") / 8)
+    groups = forms.groupBy("source_file", "key").agg(F.sum("free").alias("free"), F.sum("pages").alias("pages"), F.max(F.struct("free", "pages", F.length("line"), "line")).alias("b")).filter("pages > 1")
+    best = groups.groupBy("source_file").agg(F.max(F.struct("free", "pages", "b")).alias("b"))
+    return best.select("source_file", F.col("b.b.line").alias("head"), F.col("b.free").alias("free"), F.col("b.pages").alias("pages"))
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
     """Every word of the pages (runs without white space, edge marks off, lower case) with its count."""
     edge = r"[.,;:()\[\]{}\"'“”‘’?!]+"
     w = pages.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w"))
-    w = w.select(F.regexp_replace("w", f"^{edge}|{edge}$", "").alias("w")).filter(F.length("w").between(2, 40) & F.col("w").rlike(r"\p{L}"))
+    w = w.select(F.regexp_replace("w", f"^{edge}|{edge}$", "").alias("w")).filter((F.length("w") >= 2) & F.col("w").rlike(r"\p{L}"))
     return w.groupBy("w").agg(F.count("*").alias("n"))
 
 
@@ -390,7 +407,8 @@ def learn(pages: DataFrame) -> tuple[Editor, Perceptron, Perceptron]:
     for w in list(listed):  # parts of doubled words count as words
         for part in w.split("-")[: 2 * ("-" in w)]:
             listed[part] = max(listed.get(part, 0), listed[w])
-    rare_rows = counts.filter(~in_list & F.col("w").rlike(r"\p{L}.*\p{L}") & ~F.col("w").rlike(r"\d.*\d.*\d")).orderBy(F.xxhash64("w"), "w").limit(TYPES).collect()
+    rare = counts.filter(~in_list & F.col("w").rlike(r"\p{L}.*\p{L}") & ~F.col("w").rlike(r"\d.*\d.*\d"))
+    rare_rows = bounded_sample(rare, ["w"], TYPES).collect()
     pairs = mine({r.w: r.n for r in rare_rows}, listed)
     examples: list[tuple[list[str], str]] = []
     for noisy, clean in pairs:
@@ -398,7 +416,7 @@ def learn(pages: DataFrame) -> tuple[Editor, Perceptron, Perceptron]:
     for v in sorted(listed, key=lambda x: (-listed[x], x))[: max(500, len(pairs))]:
         examples += [(character_features(v, i), "K") for i in range(len(v))]
     editor = Editor(listed, Perceptron().train(examples, "K"))
-    sample = pages.select("item_id", "text", "head").orderBy(F.xxhash64("item_id"), "item_id").limit(PAGES).collect()
+    sample = bounded_sample(pages.select("item_id", "text", "head"), ["item_id"], PAGES).collect()
     line_examples, join_examples = [], []
     for r in sample:
         lines = [x for x in (r.text or "").split("\n") if x.strip()]
@@ -416,7 +434,9 @@ def pages_of(items: DataFrame) -> DataFrame:
     """Pages (item_id, source_file, page, text, description) with the repeated line of their file, from review items."""
     pages = items.select("item_id", "source_file", F.coalesce("page_or_sheet", F.lit("")).alias("page"), F.coalesce("original_text", F.lit("")).alias("text"), F.coalesce("item_description", F.lit("")).alias("description"))
     pages = pages.withColumn("source_file", F.coalesce("source_file", F.lit("")))
-    files = pages.groupBy("source_file").agg(F.count("*").alias("n")).join(heads(pages), "source_file", "left")
+    files = pages.groupBy("source_file").agg(F.count("*").alias("n"), F.count_distinct("page").alias("all")).join(heads(pages), "source_file", "left")
+    headed = (F.col("free") > 1) & (F.col("free") >= HEADED * F.col("all")) | (F.col("pages") > 2) & (F.col("pages") >= MOSTLY * F.col("all"))
+    files = files.select("source_file", "n", F.when(headed, F.col("head")).alias("head"))
     return cut(attach(pages, files, ["source_file"], "head"))
 
 
