@@ -106,5 +106,5 @@ def selected_id(selection: Column) -> Column:
 
 
 def utc_now() -> Column:
-    """The current UTC second as ISO text."""
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    """The current second in UTC as ISO text, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")

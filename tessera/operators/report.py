@@ -69,7 +69,3 @@ def export_summary(results: DataFrame) -> DataFrame:
     whole = total.select(F.explode(F.array(row(F.lit("total_items_reviewed"), F.col("n")), row(F.lit("count_potential_nac_high_very_high"), F.col("h")), row(F.lit("total_value_detected_rows"), F.col("v")))).alias("r"))
     return labelled.unionByName(whole).select("r.metric", F.round("r.value", 2).alias("value"))
 
-
-def pdf_cells(materials: DataFrame) -> DataFrame:
-    """Cells of a printed report: at most 180 characters each."""
-    return materials.select(*[F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, 180).alias(c) for c in materials.columns])

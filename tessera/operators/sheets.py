@@ -1,9 +1,12 @@
-"""Budget lines from loosely structured sheets: windows over the rows of each sheet.
+"""Budget lines from loosely structured sheets: windows over ranges of the rows of each sheet.
 
 Input rows are (file, sheet, sheet_idx, row_idx, cells array<string>). A numbered row is an item; it opens a group if
 it has no unit, volume, price or value. Rows without number under a group are its children while every row since the
 group has detail; any other row is a section title for the items behind it.
 
+Rows are placed in ranges of (file, sheet, row), so a file with a third of all rows is many ranges. What a range must
+know of those before it (numbered rows so far, the last title) is one row per range and sheet.
+
 Defined results: null cells are blank; rows without description, with a number as description, or that look like a
 header are left out; a file without any line from its usual sheets is read again from all sheets.
 """
@@ -15,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 #: Words of header rows and labels of titles (fixed values).
 HEADER = ["nama barang", "nama material", "uraian kegiatan", "harga satuan", "jumlah", "satuan"]
 TITLE = ["nama pekerjaan", "judul pekerjaan", "pekerjaan"]
@@ -46,8 +51,12 @@ def like_header(c: Column) -> Column:
 
 def placed(rows: DataFrame) -> DataFrame:
     """Rows with no, description, unit, volume, unit_price and total by the layout that their cells show."""
-    c = [cell(i) for i in range(12)]
-    n = [is_number(x) for x in c[:3]]
+    # Cells and what they are, made once per row: a generator keeps later filters from taking their place below it.
+    bound = lambda df, name, **cs: df.select("*", F.explode(F.array(F.struct(*[x.alias(k) for k, x in cs.items()]))).alias(name))
+    rows = bound(rows, "_c", **{f"x{i}": cell(i) for i in range(12)})
+    c = [F.col(f"_c.x{i}") for i in range(12)]
+    rows = bound(rows, "_n", **{f"x{i}": is_number(c[i]) for i in range(3)})
+    n = [F.col(f"_n.x{i}") for i in range(3)]
     filled = [x != "" for x in c[:3]]
     layout = (
         F.when(n[0] & filled[1], "a")
@@ -55,7 +64,7 @@ def placed(rows: DataFrame) -> DataFrame:
         .when(filled[1] & ~n[1] & ~n[0], "a_title")
         .when(filled[2] & ~n[2] & ~n[1], "b_title")
     )
-    rows = rows.withColumn("layout", layout).filter("layout is not null")
+    rows = bound(rows, "_l", layout=layout).filter("_l.layout is not null").withColumn("layout", F.col("_l.layout"))
     a = F.col("layout").startswith("a")
     pick = lambda x, y: F.when(a, x).otherwise(y)
     titled = F.col("layout").endswith("title")
@@ -68,18 +77,23 @@ def placed(rows: DataFrame) -> DataFrame:
             "unit_price": pick(first_filled(c[4], c[5]), c[8]),
             "total": pick(first_filled(c[10], c[6], c[5]), first_filled(c[11], c[10], c[9])),
         }
-    ).filter((F.col("description") != "") & ~is_number(F.col("description")) & ~like_header(F.col("description")))
+    ).filter((F.col("description") != "") & ~is_number(F.col("description")) & ~like_header(F.col("description"))).drop("_c", "_n", "_l")
 
 
 def rab_lines(rows: DataFrame) -> DataFrame:
     """Items and children of each sheet, in order."""
     detail = (F.col("unit") != "") | (F.col("volume") != "") | (F.col("unit_price") != "") | ~zeroish(F.col("total"))
-    r = placed(rows).withColumn("detail", detail).withColumn("numbered", is_number(F.col("no")))
-    sheet = Window.partitionBy("file", "sheet").orderBy("row_idx")
-    so_far = sheet.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = r.withColumn("block", F.sum(F.col("numbered").cast("int")).over(so_far))
+    r = placed(rows).withColumn("detail", detail).withColumn("numbered", is_number(F.col("no"))).drop("cells")
+    r = cut(r.repartitionByRange("file", "sheet", "row_idx").withColumn("part", F.spark_partition_id()))
+    place = ["part", "file", "sheet"]
+    here = Window.partitionBy(*place).orderBy("row_idx")
+    before = Window.partitionBy("file", "sheet").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = r.groupBy(*place).agg(F.count_if("numbered").alias("m")).select(*place, F.coalesce(F.sum("m").over(before), F.lit(0)).alias("earlier"))
+    r = r.join(F.broadcast(sizes), place)  # at most ranges + sheets rows
+    r = cut(r.withColumn("block", F.col("earlier") + F.sum(F.col("numbered").cast("int")).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("earlier"))
+    # Rows before the first number of a sheet have no group.
     in_block = Window.partitionBy("file", "sheet", "block").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = r.withColumns(
+    g = r.filter("block > 0").withColumns(
         {
             "whole": F.min((F.col("detail") | F.col("numbered")).cast("int")).over(in_block) == 1,
             "grouped": F.first(F.col("numbered") & ~F.col("detail")).over(in_block),
@@ -87,14 +101,15 @@ def rab_lines(rows: DataFrame) -> DataFrame:
             "group_no": F.first(F.regexp_replace("no", r"\.0$", "")).over(in_block),
         }
     )
-    child = ~F.col("numbered") & (F.col("block") > 0) & F.col("grouped") & F.col("whole") & (F.col("group_no") != "")
-    r = r.withColumn("child", child)
-    r = r.withColumns(
-        {
-            "k": F.sum(F.col("child").cast("int")).over(in_block),
-            "above": F.last(F.when(~F.col("numbered") & ~F.col("child"), F.col("description")), ignorenulls=True).over(sheet.rowsBetween(Window.unboundedPreceding, -1)),
-        }
-    )
+    g = g.withColumn("child", ~F.col("numbered") & F.col("grouped") & F.col("whole") & (F.col("group_no") != ""))
+    g = g.withColumn("k", F.sum(F.col("child").cast("int")).over(in_block)).drop("whole", "grouped")
+    first = r.filter("block = 0").withColumns({"child": F.lit(False)})
+    r = cut(g.unionByName(first, allowMissingColumns=True))
+    title = F.when(~F.col("numbered") & ~F.col("child"), F.col("description"))
+    last = r.groupBy(*place).agg(F.max_by(title, F.when(title.isNotNull(), F.col("row_idx"))).alias("t"))
+    last = last.select(*place, F.last("t", ignorenulls=True).over(before).alias("earlier"))
+    near = F.last(title, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1))
+    r = r.join(F.broadcast(last), place).withColumn("above", F.coalesce(near, "earlier"))
     row_id = F.when(F.col("numbered"), F.regexp_replace("no", r"\.0$", "")).otherwise(F.concat("group_no", F.lit("."), F.col("k").cast("string")))
     section = F.when(F.col("numbered"), F.coalesce("above", F.lit(""))).otherwise(F.col("group"))
     kept = r.filter(F.col("numbered") | F.col("child"))

@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import contains, detect, learning, report, sheets, store
 from tessera.operators.score import LABELS, SEVERITY, Settings
 from tessera.session import cut, table
+from tessera.sources import workbooks
 
 def _items(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "review_items")
@@ -179,6 +180,61 @@ def store_inserted(s: SparkSession, d: str) -> DataFrame:
     return store.insert_absent(k, new, ["keyword"]).select("id", "keyword")
 
 
+def _fuzzy_rows(s: SparkSession, d: str) -> DataFrame:
+    """Feedback laid out as reviewed rows whose wording is a candidate synonym."""
+    f = table(s, d, "feedback")
+    wording = F.col("user_suggested_redaction").alias("suggested_synonym_candidate")
+    return f.select(F.col("id").alias("item_id"), F.concat(F.lit("R"), F.col("id").cast("string")).alias("row_id"), "original_text", F.col("original_text").alias("item_per_rab"), "matched_keyword", wording, F.col("matched_keyword").alias("suggested_synonym_for_keyword"))
+
+
+def store_feedback_saved(s: SparkSession, d: str) -> DataFrame:
+    out = store.save_feedback(table(s, d, "feedback"), _fuzzy_rows(s, d), "R3 | any text", "Not NAC", "ganti", "catatan", "2030-01-01T00:00:00")
+    return out.select("id", "original_text", "matched_keyword", "feedback_type", "user_suggested_redaction", "reviewer_notes", "created_at")
+
+
+def store_synonym_approved(s: SparkSession, d: str) -> DataFrame:
+    """Synonyms and feedback after a candidate for the first keyword without blanks at its ends was approved."""
+    k, y, f = (table(s, d, n) for n in ("nac_keywords", "nac_synonyms", "feedback"))
+    first = k.filter("trim(keyword) = keyword").groupBy().agg(F.min_by("keyword", "id").alias("of"))
+    rows = s.range(1).select(F.lit(1).cast("long").alias("item_id"), F.lit("R1").alias("row_id"), F.lit("teks").alias("original_text"), F.lit("sebutan lain").alias("suggested_synonym_candidate"), F.lit("").alias("matched_keyword"))
+    rows = rows.crossJoin(F.broadcast(first)).withColumn("suggested_synonym_for_keyword", F.upper("of"))
+    synonyms, feedback = store.approve_synonym(rows, "R1 | teks", k, y, f, now="2030-01-01T00:00:00")
+    return synonyms.select(F.lit("s").alias("kind"), "id", F.col("synonym").alias("wording"), "created_at").unionByName(feedback.select(F.lit("f").alias("kind"), "id", F.col("user_suggested_redaction").alias("wording"), "created_at"))
+
+
+def store_keyword_added(s: SparkSession, d: str) -> DataFrame:
+    k = store.add_keyword(table(s, d, "nac_keywords"), " Uang Kopi Panitia ", now="2030-01-01T00:00:00")
+    return k.select("id", "category", "keyword", "severity", "status", "created_by", "created_at")
+
+
+def store_settings_saved(s: SparkSession, d: str) -> DataFrame:
+    """Settings after one mode was saved over another."""
+    none = s.createDataFrame([], store.SCHEMAS["settings"])
+    return store.save_settings(store.save_settings(none, {**store.settings_for_mode("Ketat"), "bahasa": "id"}), store.settings_for_mode("Lebih sensitif", semantic=True))
+
+
+def store_imported(s: SparkSession, d: str) -> DataFrame:
+    """Allowable terms imported as keywords, with blank fields filled, and their synonyms."""
+    t = table(s, d, "allowable_keywords").groupBy("keyword").agg(F.max("category").alias("category"))
+    sheet = t.select("keyword", "category", F.concat(F.lower("keyword"), F.lit("; ;")).alias("synonyms"), F.lit("").alias("severity"))
+    k, y = store.add_imported(table(s, d, "nac_keywords"), table(s, d, "nac_synonyms"), sheet, "2030-01-01T00:00:00")
+    return k.select(F.lit("k").alias("kind"), F.col("keyword").alias("wording"), "category", "severity").unionByName(y.select(F.lit("s").alias("kind"), F.col("synonym").alias("wording"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("severity")))
+
+
+def row_selection(s: SparkSession, d: str) -> DataFrame:
+    return store.row_choices(_fuzzy_rows(s, d), with_synonym=True)
+
+
+def keyword_workbook(s: SparkSession, d: str) -> DataFrame:
+    """The rows of the sheet of synonyms as they are exported."""
+    sheet = workbooks.keyword_sheets(*_dictionaries(s, d)[:4])["Synonyms"]
+    return sheet.select("id", "synonym", "weight", "status", "parent_keyword", "category", "severity")
+
+
+def feedback_log(s: SparkSession, d: str) -> DataFrame:
+    return workbooks.feedback_log(table(s, d, "feedback")).select("id", "feedback_type", "created_at")
+
+
 def text_chunks(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents")
     return docs.select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("part", "chunk"))
@@ -212,7 +268,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         review, review_typed, normalized_items, rule_matches, rule_matches_by_join, fuzzy_matches, allowable_contained, allowable_scores, exception_hits, feedback_adjustments, learning_totals, keyword_aliases, keyword_filter, option_lists, keyword_lookup,
-        synonyms_with_keywords, store_deactivated, store_deleted, store_inserted, text_chunks, item_names, semantic_matches, sheet_lines,
+        synonyms_with_keywords, store_deactivated, store_deleted, store_inserted, store_feedback_saved, store_synonym_approved, store_keyword_added, store_settings_saved, store_imported, row_selection,
+        keyword_workbook, feedback_log, text_chunks, item_names, semantic_matches, sheet_lines,
     )
 } | {f"learning_{n}": _learning(n) for n in ("not_confirmed", "confirmed", "new_keywords", "synonyms", "pairs", "exception_candidates")} | {name: _report(of) for name, of in REPORTS.items()}
 
@@ -417,6 +474,21 @@ UNION ALL SELECT 'e', id FROM exceptions WHERE nac_keyword_id IS NULL OR nac_key
     "store_inserted": """SELECT id, keyword FROM nac_keywords UNION ALL
 SELECT (SELECT max(id) FROM nac_keywords) + row_number() OVER (ORDER BY keyword), keyword FROM (SELECT DISTINCT lower(synonym) AS keyword FROM nac_synonyms)
 WHERE keyword NOT IN (SELECT lower(keyword) FROM nac_keywords)""",
+    "store_feedback_saved": """SELECT id, original_text, matched_keyword, feedback_type, user_suggested_redaction, reviewer_notes, created_at FROM feedback
+UNION ALL SELECT (SELECT max(id) + 1 FROM feedback), coalesce(original_text, ''), coalesce(matched_keyword, ''), 'Not NAC', 'ganti', 'catatan', '2030-01-01T00:00:00' FROM feedback WHERE id = 3""",
+    "store_synonym_approved": """SELECT 's' AS kind, id, synonym AS wording, created_at FROM nac_synonyms UNION ALL SELECT 'f', id, user_suggested_redaction, created_at FROM feedback
+UNION ALL SELECT 's', max(id) + 1, 'sebutan lain', '2030-01-01T00:00:00' FROM nac_synonyms UNION ALL SELECT 'f', max(id) + 1, 'sebutan lain', '2030-01-01T00:00:00' FROM feedback""",
+    "store_keyword_added": """SELECT id, category, keyword, severity, status, created_by, created_at FROM nac_keywords
+UNION ALL SELECT max(id) + 1, 'Umum', 'Uang Kopi Panitia', 'medium', 'active', 'user', '2030-01-01T00:00:00' FROM nac_keywords""",
+    "store_settings_saved": """SELECT * FROM (VALUES ('bahasa', 'id'), ('enable_semantic', 'true'), ('enable_stemming', 'false'), ('fuzzy_threshold', '68'), ('semantic_threshold', '52'), ('ocr_mode', 'auto'),
+('semantic_user_configured', 'true')) AS t(key, value)""",
+    "store_imported": """WITH t AS (SELECT keyword, trim(keyword) AS w, max(category) AS category FROM allowable_keywords GROUP BY ALL), n AS (SELECT * FROM t WHERE w <> '')
+SELECT 'k' AS kind, keyword AS wording, category, severity FROM nac_keywords UNION ALL SELECT 'k', w, coalesce(nullif(trim(category), ''), 'Umum'), 'medium' FROM n
+UNION ALL SELECT 's', synonym, NULL, NULL FROM nac_synonyms
+UNION ALL SELECT 's', trim(x), NULL, NULL FROM (SELECT unnest(string_split(lower(keyword), ';')) AS x FROM n) WHERE trim(x) <> ''""",
+    "row_selection": """SELECT id AS item_id, 'R' || id || ' | ' || substring(coalesce(original_text, ''), 1, 80) AS choice FROM feedback WHERE trim(coalesce(user_suggested_redaction, '')) <> ''""",
+    "keyword_workbook": "SELECT s.id, synonym, weight, s.status, k.keyword AS parent_keyword, category, severity FROM nac_synonyms s LEFT JOIN nac_keywords k ON k.id = s.nac_keyword_id",
+    "feedback_log": "SELECT id, feedback_type, created_at FROM feedback",
     "text_chunks": _CHUNKS,
     "item_names": rf"""WITH i AS (SELECT *, list_filter(list_transform(string_split(coalesce(original_text, ''), '|'), lambda x: regexp_replace(x, '^[{_SP}]+|[{_SP}]+$', '', 'g')), lambda x: x <> '')[-1] AS last FROM review_items)
 SELECT item_id, CASE WHEN last IS NULL THEN 'Item RAB' WHEN length(last) > 80 THEN regexp_replace(substring(last, 1, 77), '[{_SP}]+$', '') || '...' ELSE last END AS short_item,

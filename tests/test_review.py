@@ -8,7 +8,7 @@ from tessera.operators import contains, detect, learning, report, sheets, store
 from tessera.operators.contains import containing
 from tessera.operators.score import Settings, label
 from tessera.plans import catalog
-from tessera.session import attach
+from tessera.session import attach, bounded_sample
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -167,11 +167,56 @@ def test_store(spark, tmp_path):
     assert store.read(spark, folder, "nac_keywords").count() == 6
 
 
+def test_store_actions(spark, tmp_path):
+    k, s, _, e, f = dictionaries(spark)
+    folder = str(tmp_path / "new")
+    store.reset(spark, folder)
+    assert all(store.read(spark, folder, n).count() == 0 for n in store.TABLES)
+    rows = spark.createDataFrame([(1, "7", "snak rapat", None, "snack", "snak rapat", "SNACK"), (2, "7", "lain", "x", None, " ", None), (3, None, "kosong", "x", "mati", "", None), (4, "9", "t", "", "tidak ada", "wisata", "")], "item_id long, row_id string, original_text string, item_per_rab string, matched_keyword string, suggested_synonym_candidate string, suggested_synonym_for_keyword string")
+    assert {r.choice for r in store.row_choices(rows, True).collect()} == {"7 | snak rapat", "9 | t"} and store.row_choices(rows).count() == 4
+    f = store.save_feedback(f, rows, "7 | snak", "Not NAC", now="t")
+    assert [(r.id, r.row_id, r.original_text, r.matched_keyword) for r in f.collect()] == [(1, "7", "snak rapat", "snack")]
+    assert all(store.save_feedback(f, rows, x, "Not NAC").count() == 1 for x in ("", "| a", "8 | b"))
+    syn, said = store.approve_synonym(rows, "7", k, s, f, now="t")
+    assert [(r.id, r.nac_keyword_id, r.synonym, r.weight) for r in syn.filter("id > 3").collect()] == [(4, 4, "snak rapat", 0.85)] and said.count() == 2
+    again = store.approve_synonym(rows, "7", k, syn, said)
+    assert again[0].count() == syn.count() and again[1].count() == 2
+    assert store.approve_synonym(rows, "9", k, s, f)[0].count() == 3  # its keyword is not there
+    assert store.add_keyword(k, "DENDA").count() == 6 and store.add_keyword(k, " ").count() == 6 and store.add_keyword(k, "mati").filter("keyword = 'mati'").count() == 2
+    sheet = spark.createDataFrame([("baru", "x; y", None, "low"), ("baru", "z", "K", ""), (" ", "q", None, None)], "keyword string, synonyms string, category string, severity string")
+    words, named = store.add_imported(k, s, sheet, "t")
+    assert {(r.id, r.category, r.severity) for r in words.filter("id > 6").collect()} in ({(7, "Umum", "low"), (8, "K", "medium")}, {(8, "Umum", "low"), (7, "K", "medium")})
+    assert {(r.nac_keyword_id, r.synonym) for r in named.filter("id > 3").collect()} == {(7, "x"), (7, "y"), (7, "z")}
+    got = spark.createDataFrame([("1, 2;x 2", "Ya"), (None, None)], "a string, b string").select(store.id_list(F.col("a")).alias("a"), store.is_true(F.col("b")).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [([1, 2], True), ([], False)]
+    many = spark.createDataFrame([(f"w{i:05d}",) for i in range(3000)], "keyword string").repartition(7)
+    assert [(r.id, r.keyword) for r in store.append(k, many).filter("id > 6").orderBy("id").collect()] == [(7 + i, f"w{i:05d}") for i in range(3000)]
+
+
+def test_review_workbook(spark, tmp_path):
+    from tessera.sources import files, workbooks
+
+    k, s, t, e, f = dictionaries(spark)
+    items = spark.createDataFrame([(1, "10", "Biaya denda", "table", None, "Denda", None), (2, "b", "kabel", "table", "5", None, "Kabel")], "item_id long, row_id string, original_text string, source_quality string, total_price string, item_per_rab string, item_description string")
+    out = detect.review(spark, items, k, s, t, e, f).cache()
+    workbooks.write_workbook(str(tmp_path / "r.xlsx"), workbooks.review_sheets(out, f, k))
+    workbooks.write_workbook(str(tmp_path / "k.xlsx"), workbooks.keyword_sheets(k, s, t, e))
+    workbooks.write_workbook(str(tmp_path / "m.xlsx"), {"Sheet1": workbooks.material_sheet(report.all_materials(out))})
+    sheets_of = lambda n: [r.sheet for r in files.read_workbooks(spark, str(tmp_path / n)).groupBy("sheet", "sheet_idx").count().orderBy("sheet_idx").collect()]
+    assert sheets_of("r.xlsx") == ["Summary", "Findings", "Suggestions", "Feedback Log", "Keyword Matches", "NAC Keyword Database Snapshot"]
+    assert sheets_of("k.xlsx") == ["NAC Keywords", "Synonyms", "Allowable", "Exceptions"]
+    got = [r.cells for r in files.read_workbooks(spark, str(tmp_path / "m.xlsx")).orderBy("row_idx").collect()]
+    assert got == [["Row", "Nama Material", "Kategori NAC", "Confidence %", "Confidence Level"], ["10", "Denda", "Denda/Sanksi", "52.5", "Sedang"], ["b", "Kabel", "-", "5", "Sangat rendah"]]
+
+
 def test_attach_splits_hot_groups(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 3 else str(i)) for i in range(300)], "i long, k string")
     groups = rows.groupBy("k").agg(F.min("i").alias("v"), F.count("*").alias("n"))
     got = {(r.i, r.v) for r in attach(rows, groups, ["k"], "v", hot_rows=50).collect()}
     assert got == {(i, 1 if i % 3 else i) for i in range(300)}
+    kept = attach(rows.unionByName(spark.createDataFrame([(900, None)], rows.schema)), groups.filter("k <> '3'"), ["k"], "v", hot_rows=50, keep=True)
+    assert {(r.i, r.v) for r in kept.collect()} == {(i, 1 if i % 3 else i if i != 3 else None) for i in range(300)} | {(900, None)}
+    assert 10 <= bounded_sample(rows, ["i"], 20).count() <= 20 and bounded_sample(rows, ["i"], 1000).count() == 300 and bounded_sample(rows.limit(0), ["i"], 5).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.SQL) - {"exception_hits", "feedback_adjustments", "potential_findings", "filtered_results", "export_summary", "all_materials", "rule_matches_by_join"}))
