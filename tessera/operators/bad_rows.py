@@ -1,10 +1,10 @@
 """Rows that fail to parse: load the valid rows of imported sheets, keep the others apart with a reason.
 
-Every file has its own header (line 1: columns and delimiter). Lines meet their header by a join (never by
-grouping a file into one task, so a file with a third of all lines is as good as any other) and go through
-Python in Arrow batches. A block of lines under one header is parsed at once by Arrow's CSV reader and checked
-by columnar regular expressions; a block that fails is halved until single bad lines are left, and only those
-are read character by character for the reason.
+Every file has its own header (line 1: columns and delimiter). Headers are attached to their lines around hot files, so
+a file with a third of all lines is as good as any other, and lines go through Python in Arrow batches. A block of
+lines under one header is parsed at once by Arrow's CSV reader, which sets lines of another width aside; numbers are
+checked by columnar regular expressions. A block that does not parse, as its quoting is broken, is halved until single
+bad lines are left. Only lines set aside or left over are read character by character for the reason.
 
 Defined results: null raw_text counts as an empty line; an empty line has one (blank) field; a line of a file
 without header line fails with 'no_header'; header lines are neither rows nor failures; a column the header
@@ -17,6 +17,7 @@ import io
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.numbers import PLAIN_NUMBER, with_numbers
+from tessera.session import attach, cut
 
 #: Columns the importer knows (fixed values) and those of them that hold numbers.
 COLUMNS = ["row_id", "judul_rab", "section", "item_per_rab", "volume", "unit", "unit_price", "total_price", "notes"]
@@ -95,47 +97,66 @@ def _strict_pattern(delimiter: str) -> str:
     return rf"\A{field}(?:{d}{field})*\z"
 
 
-def _bulk(lines: pa.Array, delimiter: str, names: list[str]) -> pa.Table | None:
-    """The lines as columns, or None if any of them is not valid."""
+def _bulk(lines: pa.Array, delimiter: str, names: list[str]) -> tuple[pa.Table, list[int]] | None:
+    """The lines as columns and the places of those of another width, which are not in them; None if they do not parse."""
     quoted = lines.filter(pc.match_substring(lines, '"'))
     if len(quoted) and not pc.all(pc.match_substring_regex(quoted, _strict_pattern(delimiter))).as_py():
         return None
-    data = "\n".join(lines.to_pylist()).encode()
+    texts = lines.to_pylist()
+    data = "\n".join(texts).encode()
+    aside: list[int] = []
+
+    def skip(row: pacsv.InvalidRow) -> str:
+        aside.append(row.number - 1)
+        return "skip"
+
     try:
         got = pacsv.read_csv(
             io.BytesIO(data),
             read_options=pacsv.ReadOptions(column_names=names, use_threads=False, block_size=len(data) + 2),
-            parse_options=pacsv.ParseOptions(delimiter=delimiter, newlines_in_values=True, ignore_empty_lines=False),
+            parse_options=pacsv.ParseOptions(delimiter=delimiter, newlines_in_values=True, ignore_empty_lines=False, invalid_row_handler=skip),
             convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False),
         )
     except pa.ArrowInvalid:
         return None
-    if got.num_rows != len(lines):
+    if got.num_rows + len(aside) != len(texts) or "" in texts and len(names) > 1:  # line breaks outside quotes; blank lines
         return None
-    for c in NUMERIC:
-        if c in names and not pc.all(pc.match_substring_regex(got[c], _NUMBER)).as_py():
-            return None
-    return got.combine_chunks() if got.num_rows else None
+    return got, aside
 
 
 def _halve(ids: pa.Array, lines: pa.Array, delimiter: str, names: list[str], good: list, single: list, bad: list) -> bool:
-    """Sort the lines of a block into parsed blocks, lines read singly and failures; whether the block was whole."""
-    if len(lines) > LEAF:
-        got = _bulk(lines, delimiter, names) if len(names) == len(set(names)) else None
-        if got is not None:
-            good.append((ids, got))
-            return True
+    """Sort the lines of a block into parsed blocks, lines read singly and failures; whether the block was parsed whole."""
+    if len(lines) <= LEAF:
+        _one_by_one(ids, lines, delimiter, names, single, bad)
+        return False
+    parsed = _bulk(lines, delimiter, names) if len(names) == len(set(names)) else None
+    if parsed is None:
         m = len(lines) // 2
         _halve(ids[:m], lines[:m], delimiter, names, good, single, bad)
         _halve(ids[m:], lines[m:], delimiter, names, good, single, bad)
-    else:
-        for i, line in zip(ids.to_pylist(), lines.to_pylist()):
-            reason, fields = diagnose(line, delimiter, names)
-            if reason:
-                bad.append((i, reason))
-            else:
-                single.append((i, dict(zip(names[::-1], fields[::-1]))))
-    return False
+        return False
+    got, aside = parsed
+    whole = np.ones(len(lines), bool)
+    whole[aside] = False
+    valid = np.ones(got.num_rows, bool)
+    for c in NUMERIC:
+        if c in names:
+            valid &= pc.match_substring_regex(got[c], _NUMBER).combine_chunks().to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(whole)
+    rest = pa.array(np.sort(np.concatenate([np.flatnonzero(~whole), at[~valid]])))
+    _one_by_one(ids.take(rest), lines.take(rest), delimiter, names, single, bad)
+    if valid.any():
+        good.append((ids.take(pa.array(at[valid])), got.filter(pa.array(valid)).combine_chunks()))
+    return True
+
+
+def _one_by_one(ids: pa.Array, lines: pa.Array, delimiter: str, names: list[str], single: list, bad: list) -> None:
+    for i, line in zip(ids.to_pylist(), lines.to_pylist()):
+        reason, fields = diagnose(line, delimiter, names)
+        if reason:
+            bad.append((i, reason))
+        else:
+            single.append((i, dict(zip(names[::-1], fields[::-1]))))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +190,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parse_lines(raw: DataFrame) -> DataFrame:
     """One row per line that is no header: line_id, reason (null if valid) and the fields as text."""
     raw = raw.select("line_id", "source_file", "line_no", F.coalesce("raw_text", F.lit("")).alias("raw_text"))
-    headers = raw.filter("line_no = 1").groupBy("source_file").agg(F.min_by("raw_text", "line_id").alias("header"))
-    lines = raw.filter("line_no is null or line_no <> 1").join(headers, "source_file", "left")
+    first = F.col("line_no") == 1
+    headers = raw.groupBy("source_file").agg(F.min_by(F.when(first, F.col("raw_text")), F.when(first, F.col("line_id"))).alias("header"), F.count("*").alias("n"))
+    lines = attach(raw.filter("line_no is null or line_no <> 1"), cut(headers), ["source_file"], "header", keep=True)
     return lines.select("line_id", "raw_text", "header").mapInArrow(_parse, _OUT)
 
 
