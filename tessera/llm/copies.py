@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import attach
+from tessera.session import attach, cut
 
 _POINT, _COMMA = "\u0001", "\u0002"
 
@@ -45,6 +45,6 @@ def groups(rows: DataFrame) -> DataFrame:
 
 def members(rows: DataFrame) -> DataFrame:
     """Each row that is not the kept one, with the id of the kept one."""
-    several = groups(rows).filter("n > 1")
+    several = cut(groups(rows).filter("n > 1"))
     out = attach(rows, several, ["table_name", "root", "structure"], "keep_id")
     return out.filter("id <> keep_id").select("table_name", "keep_id", F.col("id").alias("dup_id")).distinct()

@@ -1,7 +1,9 @@
 """Garbled text from wrong character encodings: a mixture of substitution ciphers, learned by expectation-maximisation.
 
-Each source has an unknown mix of code-page swaps. A swap is a cipher that writes one letter as a unit of two or three
-letters. What a unit stands for is learned against the language's bigrams (a letter and what stands beside it):
+Each source has an unknown mix of code-page swaps. A swap is a cipher that writes one letter as a unit: of two to four
+letters where UTF-8 was read by a single-byte code page, of one where one single-byte code page was read by another.
+One letter counts as a unit only inside a word of ASCII letters, if it is no Latin letter and looks like none. What a
+unit stands for is learned against the language's bigrams (a letter and what stands beside it):
 
 * one pass counts, per source, the units with their left and right neighbours, and all other letters beyond ASCII
   with theirs; both tables are bounded by the units and letters there are, not by the rows,
@@ -21,19 +23,55 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.codepages import unit_pattern, units
+from tessera.llm.lookalikes import LOOKALIKES
 
 #: Rounds of expectation-maximisation, and smoothing of the bigrams.
 EM_ROUNDS, SMOOTH = 12, 10.0
 _LOST = re.compile("[�\x80-\x9f]")
 _BEYOND = r"[^\x00-\x7F]"
+#: Code pages of one byte that are taken for each other: written in, read by. How much less likely than a swap it is
+#: that a letter of another script is meant inside a Latin word (log).
+WRITTEN, READ, FOREIGN = ["cp1252", "cp1250", "mac_roman"], ["cp1251", "cp1253", "koi8_r", "iso8859-5", "iso8859-7", "cp437", "cp850"], -3.0
+
+
+@lru_cache(maxsize=1)
+def swaps() -> dict[str, dict[str, str]]:
+    """letter shown -> {swap of code pages: Latin letter written}."""
+    latin = lambda c: c.isalpha() and unicodedata.name(c, "").startswith("LATIN")
+    like = {c for many in LOOKALIKES.values() for c in many}
+    out: dict[str, dict[str, str]] = {}
+    for written in WRITTEN:
+        for read in READ:
+            for b in range(0x80, 0x100):
+                try:
+                    plain, shown = bytes([b]).decode(written), bytes([b]).decode(read)
+                except UnicodeDecodeError:
+                    continue
+                if latin(plain) and not latin(shown) and shown not in like and unicodedata.category(shown) in ("Lu", "Ll", "So", "Sm"):
+                    out.setdefault(shown, {})[f"{written}>{read}"] = plain
+    return out
+
+
+@lru_cache(maxsize=1)
+def pattern() -> re.Pattern:
+    """Finds units: those of several letters, and runs of swapped letters between ASCII letters, one at a time."""
+    one = "".join(map(re.escape, sorted(swaps())))
+    return re.compile(f"{unit_pattern().pattern}|(?<=[A-Za-z{one}])[{one}](?=[{one}]*[A-Za-z])")
+
+
+def options(symbol: str) -> dict[str, str]:
+    """What a unit may stand for, by the code pages."""
+    return units().get(symbol) or swaps().get(symbol, {})
 
 
 def neighbour(c: str) -> str:
@@ -46,7 +84,7 @@ def neighbour(c: str) -> str:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    find, beyond = unit_pattern(), re.compile("[^\x00-\x7f]")
+    find, beyond = pattern(), re.compile("[^\x00-\x7f]")
     for pdf in batches:
         seen: dict[tuple, int] = defaultdict(int)
         for source, text in zip(pdf["source"], pdf["text"]):
@@ -77,7 +115,7 @@ def learn(counts: list[tuple[str, str, str, str, str, int]]) -> dict[str, dict[s
         if kind == "c":
             letters[before, symbol, after] += n
         else:
-            found.append((source, symbol, before, after, n, sorted(units().get(symbol, {}).items())))
+            found.append((source, symbol, before, after, n, sorted(options(symbol).items())))
     mix: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(lambda: 1.0))
     weight: list[dict[tuple[str, str], float]] = []
     for _ in range(EM_ROUNDS):
@@ -100,9 +138,9 @@ def learn(counts: list[tuple[str, str, str, str, str, int]]) -> dict[str, dict[s
             return out
 
         weight, fresh = [], defaultdict(lambda: defaultdict(lambda: 0.5))
-        for source, symbol, before, after, n, options in found:
-            logs = {("", ""): math.log(mix[source][""]) + score(before, symbol, after)}
-            for page, plain in options:
+        for source, symbol, before, after, n, may in found:
+            logs = {("", ""): math.log(mix[source][""]) + score(before, symbol, after) + FOREIGN * (len(symbol) == 1)}
+            for page, plain in may:
                 logs[page, plain] = math.log(mix[source][page]) + score(before, plain, after)
             top = max(logs.values())
             whole = sum(math.exp(v - top) for v in logs.values())
@@ -129,12 +167,12 @@ class Restorer:
     def __init__(self, mapping: dict[str, str]):
         self.private = {u: chr(0xF0000 + i) for i, u in enumerate(sorted(mapping))}
         self.table = {ord(self.private[u]): c for u, c in mapping.items()}
-        self.find = unit_pattern()
+        self.find = pattern()
 
     def restore(self, text: str, passes: int | None = None) -> tuple[str, bool]:
         """The text restored until nothing changes, or in so many passes, and whether any unit was replaced.
 
-        It ends: each pass that changes a text makes it shorter.
+        It ends: each pass that changes a text makes it shorter or takes letters of other scripts out of it.
         """
         changed = False
         for _ in itertools.count() if passes is None else range(passes):

@@ -86,5 +86,23 @@ def test_garbled_more_than_once(spark):
     assert all(len(bad) <= 0.1 * len(odd) for bad in wrong.values()), wrong
 
 
+def test_single_bytes_read_by_another_code_page(spark):
+    words = ["façon", "señal", "crêpe", "Größe", "naïve", "Müller", "gâteau", "garçon", "mañana", "fenêtre"]
+    clean = [f"merek {w} tipe {i % 7}" for i, w in enumerate(words * 30)] + ["merek Волтан 10 kΩ", "Πελμα m² ±5", "mаtеrial A×B 4×16 mm²"] * 30
+    rows = [(i, "bersih", t) for i, t in enumerate(clean)]
+    for page in ("cp1251", "cp437", "koi8_r", "iso8859-7"):
+        for w in words:
+            shown = "".join(x.encode("cp1252").decode(page, "replace") for x in w)
+            inner = all(c in garbled.swaps() for c in shown if c > "\x7f") and all(c in "".join(words) for c in w)
+            if inner:
+                rows += [(100_000 + len(rows), page, f"merek {shown} tipe 1"), (200_000 + len(rows), page, f"merek {w} tipe 1")]
+    df = spark.createDataFrame(rows, "id long, source string, text string")
+    got = {r.id: (r.restored, r.garbled) for r in garbled.restore(spark, df, ["id"]).collect()}
+    assert all(got[i] == (t, False) for i, s, t in rows if s == "bersih" or i >= 200_000)
+    bad = [(t, got[i], rows[k + 1][2]) for k, (i, s, t) in enumerate(rows) if 100_000 <= i < 200_000]
+    assert len(bad) >= 20 and all(g[1] for _, g, _ in bad)
+    assert sum(g[0] == want for _, g, want in bad) >= 0.9 * len(bad), [x for x in bad if x[1][0] != x[2]]
+
+
 def test_units_are_bounded():
     assert 1000 < len(codepages.units()) < 20_000 and all(len(u) > 1 for u in codepages.units())
