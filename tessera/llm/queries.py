@@ -96,6 +96,12 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("item_id").alias("doc_id"), "piece_no", F.col("start").alias("start_token"), F.col("length").alias("n_tokens"), "container_id")
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: their number, the tokens in them and the share of their space that is used."""
+    used = p9_containers(spark, sf_dir).filter("n_tokens > 0").agg(F.count_distinct("container_id").alias("containers"), F.sum("n_tokens").alias("n_tokens"))
+    return used.select("containers", "n_tokens", F.round(F.col("n_tokens") / (2048 * F.col("containers")), 4).alias("fill"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.find(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.kind").alias("pii_type"), F.col("s.start").alias("start_pos")).distinct()
@@ -105,7 +111,7 @@ def p10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.masked(personal.find(spark, table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p10_found": p10_found, "p10_text": p10_text, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_text": p2_text, "p4_found": p4_found, "p4_text": p4_text, "p5_found": p5_found, "p5_text": p5_text, "p7_found": p7_found, "p7_counts": p7_counts, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p10_found": p10_found, "p10_text": p10_text, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_text": p2_text, "p4_found": p4_found, "p4_text": p4_text, "p5_found": p5_found, "p5_text": p5_text, "p7_found": p7_found, "p7_counts": p7_counts, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
 
 _COPIES = r"""
 WITH term AS (

@@ -70,3 +70,26 @@ def test_containers(spark):
     assert all(per[i] == (n or 0) for i, n in data if i != 2004) and per[2004] == 200
     assert all(len({x.piece_no for x in rows if x.item_id == i}) == 1 for i, n in data[:200] if n <= 100)
     assert packing.containers(df.limit(0), 100).count() == 0
+
+
+def test_nested_records_are_hashed_from_the_leaves(spark):
+    schema = "id long, name string, parts array<struct<code: string, size: string>>, tags map<string, string>, extra string"
+    one = ("Kabel, NYY", [("A-1", "4 x 16"), ("B", None)], {"unit": "M", "warna": "Hitam"})
+    rows = [
+        (1, *one, "a"), (2, "nyy / KABEL", [("b", ""), ("a1", "4x16")], {"WARNA": "hitam", "Unit": "m."}, "b"), (3, "Kabel NYY", *one[1:], None),
+        (4, one[0], [("A-1", "4 x 16")], one[2], None), (5, one[0], [("4 x 16", "A-1"), ("B", None)], one[2], None), (6, None, None, None, None), (7, "", [], {}, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.id: (r.root, r.structure) for r in copies.record_digests(df, ["name", "parts", "tags"], ["id"]).collect()}
+    assert got[1] == got[2] and len({got[i] for i in (1, 3, 4, 5, 6)}) == 5 and got[6] == got[7]
+    assert len({d for d, _ in got.values()}) == len({s for _, s in got.values()}) == 5
+    turned = {r.id: (r.root, r.structure) for r in copies.record_digests(df, ["tags", "name", "parts"], ["id"]).collect()}
+    assert turned == got
+
+
+def test_containers_are_full(spark):
+    r = __import__("random").Random(2)
+    sized = spark.createDataFrame([(i, r.choice([r.randint(1, 400), r.randint(100, 1500), r.randint(1, 5000)])) for i in range(6000)], "item_id long, length long")
+    out = packing.containers(sized, 2048)
+    used = out.filter("length > 0").groupBy("container_id").sum("length").collect()
+    assert max(u[1] for u in used) <= 2048 and sum(u[1] for u in used) >= 0.98 * 2048 * len(used)
