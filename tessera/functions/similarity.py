@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -196,21 +195,28 @@ def token_set_ratio(a: str, b: str) -> float:
 
 def _gram_counts(sides: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Letters of the joined token set of each side, and counts of its letter pairs (blanks around tokens) by bucket."""
-    counts, sizes = np.zeros((len(sides), buckets), np.float32), np.zeros(len(sides), np.int64)
-    place: dict[str, int] = {}
-    for i, side in enumerate(sides):
-        joined = " " + " ".join(set(side.split())) + " "
-        sizes[i] = len(joined) - 2
-        seen: dict[str, int] = {}
-        for a, b in zip(joined, joined[1:]):
-            seen[a + b] = seen.get(a + b, 0) + 1
-        for gram, n in seen.items():
-            for k in range(n):  # the second of a pair is another element than the first
-                counts[i, place.setdefault(f"{gram}{k}", zlib.crc32(f"{gram}{k}".encode("utf-8", "surrogatepass")) % buckets)] += 1
-    return sizes, counts
-
-
-def alike_pairs(texts: list[str], patterns: list[str], cutoff: float, buckets: int = 512) -> list[tuple[int, int, float]]:
+    joined = [f" {' '.join(set(x.split()))} " for x in sides]
+    lengths = np.array([len(x) for x in joined])
+    points = _points("".join(joined)).astype(np.uint64)
+    row = np.repeat(np.arange(len(sides)), lengths)
+    inside = row[:-1] == row[1:]
+    row, gram = row[:-1][inside], ((points[:-1] << np.uint64(21)) | points[1:])[inside]
+    order = np.lexsort((gram, row))
+    row, gram = row[order], gram[order]
+    at = np.arange(len(row))
+    first = np.concatenate([[True], (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])]) if len(row) else np.zeros(0, bool)
+    again = at - np.maximum.accumulate(np.where(first, at, 0))  # the second of a pair is another element than the first
+    mixed = (gram + again.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9E3779B97F4A7C15)
+    place = (mixed >> np.uint64(40)).astype(np.int64) % buckets
+    counts = np.bincount(row * buckets + place, minlength=len(sides) * buckets).reshape(len(sides), buckets)
+    return lengths - 2, counts.astype(np.float32)
+
+
+#: Texts of one product of letter pairs.
+_SIDE = 128
+
+
+def alike_pairs(texts: list[str], patterns: list[str], cutoff: float, buckets: int = 1024) -> list[tuple[int, int, float]]:
     """(text, pattern, token-set ratio) of all pairs that reach ``cutoff`` by the comparison of whole token sets.
 
     Exact: such token sets are at most (1 - cutoff) of their letters apart in single insertions and deletions, of which
@@ -219,20 +225,23 @@ def alike_pairs(texts: list[str], patterns: list[str], cutoff: float, buckets: i
     """
     apart = 1 - cutoff / 100
     (la, a), (lb, b) = _gram_counts(texts, buckets), _gram_counts(patterns, buckets)
-    out = []
-    order = np.argsort(lb, kind="stable")
+    rows, order = np.argsort(la, kind="stable"), np.argsort(lb, kind="stable")
+    rows = rows[np.searchsorted(la[rows], 1) :]
     sizes, b = lb[order], b[order]
-    for i in np.flatnonzero(la > 0):
-        first, last = np.searchsorted(sizes, la[i] * (1 - apart) / (1 + apart) - 1e-6), np.searchsorted(sizes, la[i] * (1 + apart) / (1 - apart) + 1e-6, "right")
-        first = max(first, int(np.searchsorted(sizes, 1)))
+    out = []
+    for k in range(0, len(rows), _SIDE):  # texts of like length meet the patterns of their lengths in one product
+        i = rows[k : k + _SIDE]
+        first = max(np.searchsorted(sizes, la[i[0]] * (1 - apart) / (1 + apart) - 1e-6), np.searchsorted(sizes, 1))
+        last = np.searchsorted(sizes, la[i[-1]] * (1 + apart) / (1 - apart) + 1e-6, "right")
         if first >= last:
             continue
-        letters = la[i] + sizes[first:last]
-        for j in np.flatnonzero(b[first:last] @ a[i] >= (letters + 2 - 3 * apart * letters) / 2 - 1e-3):
-            k = int(order[first + j])
-            got = token_set_ratio(texts[i], patterns[k])
+        letters = la[i][:, None] + sizes[None, first:last]
+        enough = ((letters + 2 - 3 * apart * letters) / 2 - 1e-3).astype(np.float32)
+        for x, y in zip(*np.nonzero(a[i] @ b[first:last].T >= enough)):
+            text, pattern = int(i[x]), int(order[first + y])
+            got = token_set_ratio(texts[text], patterns[pattern])
             if got >= cutoff:
-                out.append((int(i), k, got))
+                out.append((text, pattern, got))
     return out
 
 
