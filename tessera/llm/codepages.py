@@ -46,16 +46,16 @@ def units() -> dict[str, dict[str, str]]:
     return out
 
 
-def _branch(tails: set[str]) -> str:
+def branch(tails: set[str]) -> str:
     """The tails as a tree by their first letters, longest first."""
     by: dict[str, set[str]] = {}
     for t in tails - {""}:
         by.setdefault(t[0], set()).add(t[1:])
-    out = "|".join(re.escape(head) + _branch(rest) for head, rest in sorted(by.items()))
+    out = "|".join(re.escape(head) + branch(rest) for head, rest in sorted(by.items()))
     return f"(?:{out})" + "?" * ("" in tails) if by else ""
 
 
 @lru_cache(maxsize=1)
 def unit_pattern() -> re.Pattern:
     """Finds units, longest first."""
-    return re.compile(_branch(set(units())))
+    return re.compile(branch(set(units())))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.codepages import unit_pattern, units
+from tessera.llm.codepages import branch, units
 from tessera.llm.lookalikes import LOOKALIKES
 
 #: Rounds of expectation-maximisation, and smoothing of the bigrams.
@@ -64,9 +64,21 @@ def swaps() -> dict[str, dict[str, str]]:
 
 @lru_cache(maxsize=1)
 def pattern() -> re.Pattern:
-    """Finds units: those of several letters, and runs of swapped letters between ASCII letters, one at a time."""
+    """Finds units: those of several letters, and runs of swapped letters between ASCII letters, one at a time.
+
+    One tree by first letters, so that the search can skip all others.
+    """
+    tails: dict[str, set[str]] = defaultdict(set)
+    for u in units():
+        tails[u[0]].add(u[1:])
     one = "".join(map(re.escape, sorted(swaps())))
-    return re.compile(f"{unit_pattern().pattern}|(?<=[A-Za-z{one}])[{one}](?=[{one}]*[A-Za-z])")
+    ways = []
+    for head in sorted({*tails, *swaps()}):
+        more = [branch(tails[head])] if head in tails else []
+        if head in swaps():
+            more.append(f"(?<=[A-Za-z{one}]{re.escape(head)})(?=[{one}]*[A-Za-z])")
+        ways.append(f"{re.escape(head)}(?:{'|'.join(more)})")
+    return re.compile("|".join(ways))
 
 
 def options(symbol: str) -> dict[str, str]:
