@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 _PAD = 0xFFFFFFFF
 
@@ -193,61 +192,278 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def _gram_counts(sides: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of the joined token set of each side, and counts of its letter pairs (blanks around tokens) by bucket."""
-    joined = [f" {' '.join(set(x.split()))} " for x in sides]
-    lengths = np.array([len(x) for x in joined])
-    points = _points("".join(joined)).astype(np.uint64)
-    row = np.repeat(np.arange(len(sides)), lengths)
-    inside = row[:-1] == row[1:]
-    row, gram = row[:-1][inside], ((points[:-1] << np.uint64(21)) | points[1:])[inside]
-    order = np.lexsort((gram, row))
-    row, gram = row[order], gram[order]
-    at = np.arange(len(row))
-    first = np.concatenate([[True], (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])]) if len(row) else np.zeros(0, bool)
-    again = at - np.maximum.accumulate(np.where(first, at, 0))  # the second of a pair is another element than the first
-    mixed = (gram + again.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9E3779B97F4A7C15)
-    place = (mixed >> np.uint64(40)).astype(np.int64) % buckets
-    counts = np.bincount(row * buckets + place, minlength=len(sides) * buckets).reshape(len(sides), buckets)
-    return lengths - 2, counts.astype(np.float32)
-
+class Terms:
+    """Patterns laid out for token-set ratios from ``cutoff`` with many texts: by their tokens, and by their spelling.
 
-#: Texts of one product of letter pairs.
-_SIDE = 128
+    Exact. Of shared tokens: those that text and pattern share hold a share of the letters of one of them, ``need``. If
+    it is the pattern's, its two rarest shared tokens are two of its tokens which that share allows to be the rarest, so
+    texts meet patterns by pairs of tokens; if it is the text's, by one such token, and each pair is counted out.
 
+    Of spelling: whole token sets that reach the cutoff are at most (1 - cutoff) of their letters apart in single
+    insertions and deletions. So letters that one side has more of than the other are few: first those letters of which
+    patterns have more than texts, then each letter as often as it stands there, then letter pairs, of which one
+    insertion or deletion changes three at most, in whatever order the tokens stand. What is left is compared.
+    """
 
-def alike_pairs(texts: list[str], patterns: list[str], cutoff: float, buckets: int = 1024) -> list[tuple[int, int, float]]:
-    """(text, pattern, token-set ratio) of all pairs that reach ``cutoff`` by the comparison of whole token sets.
+    #: Bits for letters and letter pairs, texts of one comparison, cells of a table of texts by tokens, candidates at once.
+    LETTERS, PAIRS, SIDE, WIDE, CELLS, AT_ONCE = 256, 512, 64, 8192, 1 << 24, 1 << 20
+    #: Letters that are told apart, the most frequent ones; known tokens of a text from which it meets patterns by one token.
+    ALPHABET, MANY = 64, 512
+
+    def __init__(self, patterns: list[str], cutoff: float):
+        self.patterns, self.cutoff = patterns, cutoff
+        self.share, self.apart = cutoff / (200 - cutoff), 1 - cutoff / 100
+        sets = [set(p.split()) for p in patterns]
+        times = Counter(w for s in sets for w in s)
+        self.ids = {w: i for i, (_, w) in enumerate(sorted((n, w) for w, n in times.items()))}  # the rarest first
+        self.weights = np.array([len(w) + 1 for w in self.ids] or [0])
+        self.sizes = np.array([len(s) for s in sets], int)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.tokens = np.array([i for s in sets for i in sorted(self.ids[w] for w in s)], int)
+        held = np.concatenate([[0], np.cumsum(self.weights[self.tokens])]) if len(self.tokens) else np.zeros(1, int)
+        self.lengths = held[self.starts[1:]] - held[self.starts[:-1]] - 1
+        of = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(self.tokens, kind="stable")
+        self.of_token, self.token_starts = of[order], np.searchsorted(self.tokens[order], np.arange(len(self.ids) + 1))
+        self._pair_keys()
+        joined = [" ".join(s) for s in sets]
+        self.letters = sorted(c for c, _ in Counter("".join(joined)).most_common(self.ALPHABET))
+        self.counts = _in_parts(self._letter_counts, joined)
+        self.pairs = _in_parts(lambda x: _pair_bits(x, self.PAIRS), joined)
+        self.placed = False
+
+    def _need(self, lengths: np.ndarray) -> np.ndarray:
+        """Letters, with one blank for each token, that shared tokens hold at least."""
+        return self.share * lengths + 1 - 1e-6
+
+    def _pair_keys(self) -> None:
+        """Of each pattern the tokens that may be the rarest two of those shared; one token twice if it is enough."""
+        keys, owners, wide = [], [], len(self.ids)
+        for k in np.unique(self.sizes[self.sizes > 0]):
+            rows = np.flatnonzero(self.sizes == k)
+            tokens = self.tokens[self.starts[rows][:, None] + np.arange(k)]
+            weights, need = self.weights[tokens], self._need(self.lengths[rows])
+            rest = np.cumsum(weights[:, ::-1], axis=1)[:, ::-1]
+            for i in range(k):
+                if not (rest[:, i] >= need).any():
+                    break
+                for j in range(i, k):
+                    ok = weights[:, i] + (rest[:, j] if j > i else 0) >= need
+                    if j > i and not ok.any():
+                        break
+                    keys.append(tokens[ok, i] * wide + tokens[ok, j])
+                    owners.append(rows[ok])
+        keys = np.concatenate(keys or [np.zeros(0, int)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, starts = np.unique(keys[order], return_index=True)
+        self.key_owners = np.concatenate(owners or [np.zeros(0, int)])[order]
+        self.key_starts = np.append(starts, len(keys))
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self._mixed(self.keys)] = True
+
+    @staticmethod
+    def _mixed(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+
+    def _letter_counts(self, joined: list[str]) -> np.ndarray:
+        """How often each letter of the patterns stands in each text, 255 at most."""
+        known = np.array([ord(c) for c in self.letters] or [0], np.uint32)  # sorted
+        points, rows = _points("".join(joined)), np.repeat(np.arange(len(joined)), [len(x) for x in joined])
+        at = np.minimum(np.searchsorted(known, points), len(known) - 1)
+        ok = known[at] == points
+        return np.minimum(np.bincount(rows[ok] * len(known) + at[ok], minlength=len(joined) * len(known)), 255).reshape(len(joined), len(known)).astype(np.uint8)
+
+    # --- tokens in common
+
+    def shared(self, sets: list[set[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, pattern, ratio) in parts: the best pattern of each text and part, by the tokens that they share."""
+        step = max(16, self.CELLS // max(1, len(self.ids)))
+        return [x for a in range(0, len(sets), step) for x in self._shared(sets[a : a + step], a)]
+
+    def _shared(self, sets: list[set[str]], first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ids, wide = self.ids, len(self.ids)
+        listed = [sorted(ids[w] for w in s if w in ids) for s in sets]
+        kinds, lengths = np.array([len(s) for s in sets]), np.array([sum(map(len, s)) + len(s) - 1 for s in sets])
+        known = np.array([len(x) for x in listed])
+        has = np.zeros((len(sets), wide), bool)
+        for r, x in enumerate(listed):
+            has[r, x] = True
+        for k in np.unique(known[known > 0]):
+            rows = np.flatnonzero(known == k)
+            step = max(1, self.AT_ONCE // (k * k))
+            for a in range(0, len(rows), step):
+                part = rows[a : a + step]
+                tokens = np.array([listed[r] for r in part])
+                if k <= self.MANY:
+                    i, j = np.triu_indices(k)
+                    keys = tokens[:, i] * wide + tokens[:, j]
+                    r, c = np.nonzero(self.maybe[self._mixed(keys)])
+                    keys = keys[r, c]
+                    at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                    ok = self.keys[at] == keys
+                    yield from self._met(part[r[ok]], self.key_starts[at[ok]], self.key_starts[at[ok] + 1], self.key_owners, has, kinds, lengths, first)
+                    rest = np.cumsum(self.weights[tokens][:, ::-1], axis=1)[:, ::-1]
+                    r, c = np.nonzero(rest >= self._need(lengths[part])[:, None])
+                else:
+                    r, c = np.nonzero(np.ones(tokens.shape, bool))
+                yield from self._met(part[r], self.token_starts[tokens[r, c]], self.token_starts[tokens[r, c] + 1], self.of_token, has, kinds, lengths, first)
+
+    def _met(self, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, owners: np.ndarray, has: np.ndarray, kinds: np.ndarray, lengths: np.ndarray, first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Texts with all patterns between their starts and ends, a bounded number at once."""
+        total = np.cumsum(ends - starts)
+        a = 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + self.AT_ONCE, "right")))
+            own, spot = _expand(rows[a:b], starts[a:b], ends[a:b])
+            if len(own):
+                t, p, v = _best_of(*self._counted(own, owners[spot], has, kinds, lengths))
+                if len(t):
+                    yield t + first, p, v
+            a = b
+
+    def _counted(self, t: np.ndarray, p: np.ndarray, has: np.ndarray, kinds: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, spot = _expand(np.arange(len(t)), self.starts[p], self.starts[p + 1])
+        token = self.tokens[spot]
+        hit = has[t[own], token]
+        begins = np.concatenate([[0], np.cumsum(self.sizes[p])[:-1]])
+        times, n = np.add.reduceat(hit.astype(int), begins), np.add.reduceat(hit * self.weights[token], begins) - 1
+        whole = (times > 0) & ((times == kinds[t]) | (times == self.sizes[p]))
+        v = np.where(whole, 100.0, 200.0 * n / np.maximum(n + np.minimum(lengths[t], self.lengths[p]), 1))
+        keep = (times > 0) & (v >= self.cutoff)
+        return t[keep], p[keep], v[keep]
+
+    # --- like spelling
+
+    def _place(self, counts: np.ndarray) -> None:
+        """Order the patterns and choose the letters that are looked at first, by what the first texts are like."""
+        more = self.counts.mean(axis=0) / max(1, self.lengths.mean()) > counts.mean(axis=0) / max(1, counts.sum(axis=1).mean())
+        self.more = more
+        lean = self.counts[:, more].sum(axis=1, dtype=np.int64)
+        order = np.lexsort((lean, self.lengths))
+        self.order, self.lean = order[self.lengths[order] > 0], lean
+        most = self.counts.max(axis=0)
+        spots = [(c, k) for c in range(len(most)) for k in range(1, most[c] + 1)]
+        worth = [-(self.counts[:, c] >= k).mean() * (counts[:, c] < k).mean() for c, k in spots]
+        self.spots = [spots[i] for i in np.argsort(worth, kind="stable")]
+        self.bits = self._letter_bits(self.counts)
+        s = self.order
+        self.s_len, self.s_lean, self.s_bits = self.lengths[s], self.lean[s], [np.ascontiguousarray(self.bits[s, w]) for w in range(self.bits.shape[1])]
+        self.s_pairs = self.pairs[s]
+        self.s_spans = {int(n): (int(a), int(b)) for n, a, b in zip(*(lambda u: (u, np.searchsorted(self.s_len, u), np.searchsorted(self.s_len, u, "right")))(np.unique(self.s_len)))}
+        self.placed = True
+
+    def _letter_bits(self, counts: np.ndarray) -> np.ndarray:
+        """A bit for each occurrence of a letter, by worth; the least worthy ones share bits."""
+        out = np.zeros((len(counts), self.LETTERS), bool)
+        for i, (c, k) in enumerate(self.spots):
+            at = i if i < self.LETTERS else self.LETTERS - 1 - i % 64
+            out[:, at] |= counts[:, c] >= k
+        return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+    def alike(self, sets: list[set[str]]) -> list[tuple[int, int, float]]:
+        """(text, pattern, ratio) of all pairs that reach the cutoff by the comparison of whole token sets."""
+        if not len(self.tokens) or not sets:
+            return []
+        joined = [" ".join(s) for s in sets]
+        lengths = np.array([len(x) for x in joined])
+        low, high = (1 - self.apart) / (1 + self.apart), (1 + self.apart) / (1 - self.apart)
+        fit = np.flatnonzero((lengths > 0) & (lengths * low <= self.lengths.max() + 1e-6))
+        if not len(fit):
+            return []
+        joined, lengths = [joined[i] for i in fit], lengths[fit]
+        counts = self._letter_counts(joined)
+        if not self.placed:
+            self._place(counts)
+        lean, bits, pairs = counts[:, self.more].sum(axis=1, dtype=np.int64), self._letter_bits(counts), _pair_bits(joined, self.PAIRS)
+        rows, out = np.lexsort((lean, lengths)), []
+        cuts = np.flatnonzero(np.diff(lengths[rows])) + 1
+        for same in np.split(rows, cuts):
+            for a in range(0, len(same), self.SIDE):
+                i = same[a : a + self.SIDE]
+                la, most = int(lengths[i[0]]), int(lean[i].max())
+                spans, missing = [], []
+                for lb in range(int(np.ceil(la * low - 1e-6)), int(la * high + 1e-6) + 1):
+                    if lb in self.s_spans:
+                        s, e = self.s_spans[lb]
+                        may = int((self.apart * (la + lb) - la + lb) / 2 + 1e-6)  # letters of the pattern that the text may lack
+                        e = s + int(np.searchsorted(self.s_lean[s:e], most + may, "right"))
+                        if may >= 0 and e > s:
+                            spans.append(np.arange(s, e))
+                            missing.append(np.full(e - s, may, np.uint8 if may < 256 else np.int64))
+                if not spans:
+                    continue
+                where, may = np.concatenate(spans), np.concatenate(missing)
+                for k in range(0, len(where), self.WIDE):
+                    for t, p in zip(*self._near(la, i, where[k : k + self.WIDE], may[k : k + self.WIDE], bits, pairs)):
+                        got = token_set_ratio(joined[t], self.patterns[p])
+                        if got >= self.cutoff:
+                            out.append((int(fit[t]), int(p), got))
+        return out
 
-    Exact: such token sets are at most (1 - cutoff) of their letters apart in single insertions and deletions, of which
-    each changes three letter pairs at most, in whatever order the tokens stand. So they share at least a number of
-    letter pairs, and a product of counts by bucket, which is never below the number shared, leaves out the others.
-    """
-    apart = 1 - cutoff / 100
-    (la, a), (lb, b) = _gram_counts(texts, buckets), _gram_counts(patterns, buckets)
-    rows, order = np.argsort(la, kind="stable"), np.argsort(lb, kind="stable")
-    rows = rows[np.searchsorted(la[rows], 1) :]
-    sizes, b = lb[order], b[order]
-    out = []
-    for k in range(0, len(rows), _SIDE):  # texts of like length meet the patterns of their lengths in one product
-        i = rows[k : k + _SIDE]
-        first = max(np.searchsorted(sizes, la[i[0]] * (1 - apart) / (1 + apart) - 1e-6), np.searchsorted(sizes, 1))
-        last = np.searchsorted(sizes, la[i[-1]] * (1 + apart) / (1 - apart) + 1e-6, "right")
-        if first >= last:
-            continue
-        letters = la[i][:, None] + sizes[None, first:last]
-        enough = ((letters + 2 - 3 * apart * letters) / 2 - 1e-3).astype(np.float32)
-        for x, y in zip(*np.nonzero(a[i] @ b[first:last].T >= enough)):
-            text, pattern = int(i[x]), int(order[first + y])
-            got = token_set_ratio(texts[text], patterns[pattern])
-            if got >= cutoff:
-                out.append((text, pattern, got))
-    return out
-
-
-@F.pandas_udf(DoubleType())
-def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    def _near(self, la: int, i: np.ndarray, where: np.ndarray, may: np.ndarray, bits: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts ``i`` of ``la`` letters and patterns in the places ``where`` that letters and letter pairs leave."""
+        lack = np.bitwise_count(~bits[i, 0][:, None] & self.s_bits[0][where])
+        lack += np.bitwise_count(~bits[i, 1][:, None] & self.s_bits[1][where])
+        at = np.flatnonzero((lack <= may).ravel())
+        x, y = np.divmod(at, len(where))
+        lack, may = lack.ravel()[at].astype(np.int64), may[y].astype(np.int64)
+        x, y = i[x], where[y]
+        for w in range(2, bits.shape[1]):
+            lack += np.bitwise_count(~bits[x, w] & self.s_bits[w][y])
+            ok = lack <= may
+            x, y, may, lack = x[ok], y[ok], may[ok], lack[ok]
+        lb, pa, pb = self.s_len[y], pairs[x], self.s_pairs[y]
+        most = 3 * self.apart * (la + lb)
+        ok = np.bitwise_count(pb & ~pa).sum(axis=1, dtype=np.int64) <= (most - la + lb) / 2 + 1e-3
+        ok &= np.bitwise_count(pa & ~pb).sum(axis=1, dtype=np.int64) <= (most + la - lb) / 2 + 1e-3
+        return x[ok], self.order[y[ok]]
+
+    def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, pattern, ratio): the pattern with the highest ratio of each text, the first of equals."""
+        sets = [set(x.split()) for x in texts]
+        spelt = self.alike(sets)
+        parts = [*self.shared(sets), *([tuple(map(np.array, zip(*spelt)))] if spelt else [])]
+        return _best_of(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def alike_pairs(texts: list[str], patterns: list[str], cutoff: float) -> list[tuple[int, int, float]]:
+    """(text, pattern, token-set ratio) of all pairs that reach ``cutoff`` by the comparison of whole token sets."""
+    return Terms(patterns, cutoff).alike([set(x.split()) for x in texts])
+
+
+def _best_of(t: np.ndarray, p: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The highest ratio of each text, the first pattern of equals."""
+    order = np.lexsort((p, -v, t))
+    order = order[np.append(True, t[order][1:] != t[order][:-1])[: len(order)]]
+    return t[order], p[order], v[order]
+
+
+def _in_parts(of: Callable[[list[str]], np.ndarray], rows: list[str], size: int = 10_000) -> np.ndarray:
+    return np.concatenate([of(rows[a : a + size]) for a in range(0, max(1, len(rows)), size)])
+
+
+def _expand(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row once for every place from its start to before its end, and the places."""
+    n = ends - starts
+    total = int(n.sum())
+    return np.repeat(rows, n), np.arange(total) - np.repeat(np.cumsum(n) - n - starts, n)
+
+
+def _pair_bits(joined: list[str], bits: int) -> np.ndarray:
+    """Bits of the letter pairs of each joined token set (blanks around tokens); a pair's second place is another pair."""
+    sides = [f" {x} " for x in joined]
+    points = _points("".join(sides)).astype(np.uint64)
+    row = np.repeat(np.arange(len(sides)), [len(x) for x in sides])
+    inside = row[:-1] == row[1:]
+    both = np.sort(((row[:-1].astype(np.uint64) << np.uint64(42)) | (points[:-1] << np.uint64(21)) | points[1:])[inside])  # fewer than 2 ** 22 sides
+    row, gram = (both >> np.uint64(42)).astype(np.int64), both & np.uint64((1 << 42) - 1)
+    at = np.arange(len(both))
+    first = np.append(True, both[1:] != both[:-1])[: len(both)]
+    again = at - np.maximum.accumulate(np.where(first, at, 0))
+    mixed = (gram + again.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9E3779B97F4A7C15)
+    out = np.zeros((len(sides), bits), bool)
+    out[row, (mixed >> np.uint64(40)).astype(np.int64) % bits] = True
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -59,3 +59,24 @@ def test_allowable_is_brute_force(spark, pairs, monkeypatch):
     spread = detect.allowable(spark.createDataFrame([(x,) for x in texts], "text string"), t, sent=0)
     assert {r.text: (round(r.allowable_score, 6), r.allowable_keyword) for r in spread.collect()} == got
     assert any(score < 100 for score, _ in want.values())
+
+
+def test_few_pairs_are_compared_letter_by_letter(monkeypatch):
+    r = random.Random(5)
+    syllables = ["ka", "ti", "ro", "sel", "ma", "nu", "pe", "gar", "du", "lo", "bi", "wa"]
+    words = ["".join(r.choice(syllables) for _ in range(r.randint(2, 3))) for _ in range(150)]
+    terms = sorted({f"{' '.join(r.sample(words, 5))} {r.choice(['py', 'gd'])}-{r.randint(1000, 1999)}" for _ in range(800)})
+    texts = sorted({misspelt(r, t, 2) for t in terms[:60]} | {" ".join(reversed(t.split()[1:])) for t in terms[60:90]} | {" ".join(r.sample(words, 6)) for _ in range(400)})
+    want = {}
+    for i, x in enumerate(texts):
+        score, j = min((-sim.token_set_ratio(x, w), j) for j, w in enumerate(terms))
+        if -score >= 88:
+            want[i] = (-score, j)
+    compared, ratio = [], sim.token_set_ratio
+    monkeypatch.setattr(sim, "token_set_ratio", lambda a, b: compared.append(a) or ratio(a, b))
+    at, which, score = sim.Terms(terms, 88.0).best(texts)
+    assert {int(i): (float(v), int(j)) for i, j, v in zip(at, which, score)} == want and len(want) >= 80
+    assert len(compared) < len(texts) * len(terms) / 1000
+    monkeypatch.setattr(sim.Terms, "MANY", 2)
+    again = sim.Terms(terms, 88.0).best(texts)
+    assert all((x == y).all() for x, y in zip(again, (at, which, score)))
