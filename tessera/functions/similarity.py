@@ -66,6 +66,22 @@ class _Block:
             np.cumsum(self.codes == c, axis=1, dtype=kind, out=self.sums[c, :, 1:])
         self.totals = self.sums[:, :, -1]
         self.sizes: dict[int, np.ndarray] = {}
+        wide = len(letters) + 1
+        place = self.codes.T.astype(np.int32)
+        self.pairs = np.ascontiguousarray(place[:-1] * wide + place[1:]).astype(np.uint16 if wide < 256 else np.int32)  # by place, then text
+        self.wide, self.fewest = wide, {}
+
+    def needed(self, m: int, base: float) -> np.ndarray:
+        """Pairs of neighbours of a needle that a window must hold to be above ``base``, by place of the window, then text.
+
+        The common subsequence must have at least n letters. Each of the needle's letters that is not in it breaks two
+        pairs of its neighbours, and each of the window's other letters one; 255 where n letters are not there.
+        """
+        if (m, base) not in self.fewest:
+            both = self.both(m).T
+            n = np.floor((base / 200.0 - 1e-6) * both).astype(np.int32) + 1
+            self.fewest[m, base] = np.where(n > both - m, 255, np.maximum(3 * n - both - 1, 0)).astype(np.uint8)
+        return self.fewest[m, base]
 
     def both(self, m: int) -> np.ndarray:
         """Letters of needle and window together, for each window; windows outside a text have none of its letters."""
@@ -75,39 +91,46 @@ class _Block:
             self.sizes[m] = (m + np.maximum(real, 0)).astype(np.float32)
         return self.sizes[m]
 
-    def best(self, own: np.ndarray, above: np.ndarray) -> np.ndarray:
+    def best(self, own: np.ndarray, above: np.ndarray, base: float) -> np.ndarray:
         """Best indel ratio of a needle (numbers of its letters) with the windows of each text, also the shorter ones at
-        both ends. What cannot be ``above`` the given value of its text is left out; a text without others gets 0.
+        both ends. What cannot be ``above`` the given value of its text, at least ``base``, is left out; a text without
+        others gets 0.
 
-        The bound: the letters that needle and window have in common, each as often as both have it, are never fewer
-        than their longest common subsequence. It is tried for whole texts first.
+        The bounds: pairs of neighbours (``needed``), for all windows. Then the letters that needle and window have in
+        common, each as often as both have it, which are never fewer than their longest common subsequence.
         """
         m = len(own)
         letters, times = np.unique(own, return_counts=True)
         out = np.zeros(len(self.lengths))
-        most = np.minimum(self.totals[letters], times[:, None]).sum(axis=0)
-        rows = np.flatnonzero((200.0 * most / (m + most) > above - 1e-9) & (self.lengths >= m))
-        if not len(rows):
-            return out
         first, last = self.margin - (m - 1), self.codes.shape[1] - self.margin
-        upper = np.zeros((len(rows), last - first), np.int16)
+        known = np.zeros(self.wide * self.wide, np.uint8)
+        known[own[:-1] * self.wide + own[1:]] = 1
+        held = _running(np.take(known, self.pairs, mode="clip"), m - 1)[first:last]
+        spots, rows = np.divmod(np.flatnonzero((held >= self.needed(m, base)).ravel()), len(out))
+        long = self.lengths[rows] >= m
+        rows, spots = rows[long], spots[long]
+        upper = np.zeros(len(rows), np.int32)
+        begin = rows * self.sums.shape[2] + first + spots
+        end = begin + m
         for c, n in zip(letters, times):
-            s = self.sums[c] if len(rows) == len(out) else self.sums[c][rows]
-            upper += np.minimum(s[:, first + m : last + m] - s[:, first:last], n).astype(np.int16)
-        both = self.both(m)[rows]
-        near, spots = np.nonzero(upper > (above[rows, None] / 200.0 - 1e-6).astype(np.float32) * both)
+            s = self.sums[c].ravel()
+            upper += np.minimum(np.take(s, end) - np.take(s, begin), n)
+        both = self.both(m)[rows, spots]
+        near = upper > (above[rows] / 200.0 - 1e-6) * both
+        rows, spots, both = rows[near], spots[near], both[near]
         full = np.uint64((1 << m) - 1)
         table = np.zeros(int(self.codes.max()) + 1, np.uint64)
         for k, c in enumerate(own):
             if c < len(table):
                 table[c] |= np.uint64(1 << k)
-        for a in range(0, len(near), 1 << 18):
-            i, j = near[a : a + (1 << 18)], spots[a : a + (1 << 18)]
-            s = np.full(len(i), full, np.uint64)
+        flat = self.codes.ravel()
+        for a in range(0, len(rows), 1 << 18):
+            i, j = rows[a : a + (1 << 18)], spots[a : a + (1 << 18)]
+            s, at = np.full(len(i), full, np.uint64), i * self.codes.shape[1] + first + j
             for k in range(m):
-                u = s & table[self.codes[rows[i], first + j + k]]
+                u = s & np.take(table, np.take(flat, at + k))
                 s = ((s + u) | (s - u)) & full
-            np.maximum.at(out, rows[i], 200.0 * (m - np.bitwise_count(s).astype(float)) / both[i, j])
+            np.maximum.at(out, i, 200.0 * (m - np.bitwise_count(s).astype(float)) / both[a : a + (1 << 18)])
         return out
 
 
@@ -123,6 +146,20 @@ def _exact_partial(text: str, needle: str, above: float) -> float:
     return max(_partial_slow(short, long), _partial_slow(long, short) if len(short) == len(long) else 0.0)
 
 
+def _running(rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``n`` rows from each row on, added up by doubled steps; one row of zeros more for ``n`` of 0."""
+    if not n:
+        return np.zeros((len(rows) + 1, rows.shape[1]), rows.dtype)
+    out, done, size = None, 0, 1
+    while True:
+        if n & size:
+            out = rows[: len(rows)] if out is None else out[: len(rows) - done] + rows[done:]
+            done += size
+        if done == n:
+            return out
+        rows, size = rows[:-size] + rows[size:], 2 * size
+
+
 #: Needles up to this length are compared by machine words; cells of a block of texts.
 _WORD_BITS, _CELLS = 63, 150_000
 
@@ -151,7 +188,7 @@ def best_partial(texts: list[str], needles: list[str], threshold: float) -> tupl
         for k, needle in enumerate(needles):
             got = np.zeros(len(g))
             if block is not None and 0 < len(needle) <= _WORD_BITS:
-                got = block.best(coded[k], best[mine])
+                got = block.best(coded[k], best[mine], threshold - 1e-6)
             for j, i in enumerate(g):  # sorted by length: those behind are longer
                 if len(texts[i]) > len(needle) and 0 < len(needle) <= _WORD_BITS:
                     break

@@ -39,9 +39,11 @@ def strip(c: Column) -> Column:
 def normalize(c: Column) -> Column:
     """Lower case, abbreviations written out, only word characters and %./,- kept, single spaces. Null gives ''."""
     t = F.lower(F.coalesce(c.cast("string"), F.lit("")))
-    t = reduce(lambda x, ab: F.regexp_replace(x, rf"(?<!{_WORD}){ab[0]}(?!{_WORD})", ab[1]), ABBREVIATIONS, t)
-    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}{_SPACE}%./,-]", " ")
-    return F.trim(F.regexp_replace(t, rf"[{_SPACE}]+", " "))
+    written = reduce(lambda x, ab: F.regexp_replace(x, rf"(?<!{_WORD}){ab[0]}(?!{_WORD})", ab[1]), ABBREVIATIONS, t)
+    heads = "".join(sorted({short[0] for short, _ in ABBREVIATIONS}))  # most texts have no abbreviation: one look instead of one for each
+    t = F.when(F.rlike(t, F.lit(rf"(?=[{heads}])(?<!{_WORD})(?:{'|'.join(short for short, _ in ABBREVIATIONS)})(?!{_WORD})")), written).otherwise(t)
+    t = F.regexp_replace(t, rf"[^a-z0-9 %./,\-\p{{L}}\p{{N}}{_SPACE}]", " ")
+    return F.trim(F.regexp_replace(t, rf"[{_SPACE}]{{2,}}|[{_SPACE}&&[^ ]]", " "))
 
 
 def combine(columns: list[str]) -> Column:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tessera.functions import similarity as sim
@@ -80,3 +81,26 @@ def test_few_pairs_are_compared_letter_by_letter(monkeypatch):
     monkeypatch.setattr(sim.Terms, "MANY", 2)
     again = sim.Terms(terms, 88.0).best(texts)
     assert all((x == y).all() for x, y in zip(again, (at, which, score)))
+
+
+def test_windows_left_out_are_below_the_threshold():
+    r = random.Random(9)
+    needle = "sewa tenda rapat"
+    texts = [f"{'pekerjaan '[: r.randint(0, 10)]}{misspelt(r, needle, r.randint(0, 7))}{' di gardu'[: r.randint(0, 9)]}" for _ in range(300)]
+    letters = np.unique(sim._points(needle))
+    block, m, base = sim._Block(texts, letters, len(needle) - 1), len(needle), 78.0 - 1e-6
+    needed, pairs = block.needed(m, base), {needle[i : i + 2] for i in range(m - 1)}
+    near = left = 0
+    for k, t in enumerate(texts):
+        for j in range(1 - m, len(t)):
+            w = t[max(0, j) : j + m]
+            held = sum(w[i : i + 2] in pairs for i in range(len(w) - 1))
+            if sim.ratio(needle, w) > base:
+                near += 1
+                assert held >= needed[j + m - 1, k]
+            left += held < needed[j + m - 1, k]
+    assert near > 100 and left > 1000
+    best, which = sim.best_partial(texts, [needle], 78.0)
+    for k, t in enumerate(texts):
+        want = sim._exact_partial(t, needle, 0.0)
+        assert (which[k] == 0) == (want >= 78) and (want < 78 or abs(best[k] - want) < 1e-9)
