@@ -49,7 +49,7 @@ def _points(s: str) -> np.ndarray:
 
 
 class _Block:
-    """Texts of like length side by side, as numbers of the needles' letters, with running counts of each letter."""
+    """Texts of like length side by side, as numbers of the needles' letters."""
 
     def __init__(self, texts: list[str], letters: np.ndarray, margin: int):
         self.lengths = np.array([len(t) for t in texts])
@@ -60,16 +60,7 @@ class _Block:
             padded[k, margin : margin + len(t)] = _points(t)
         at = np.minimum(np.searchsorted(letters, padded), len(letters) - 1)
         self.codes = np.where(letters[at] == padded, at, len(letters)).astype(np.uint16)
-        kind = np.int16 if padded.shape[1] < 32_000 else np.int32
-        self.sums = np.zeros((len(letters), len(texts), padded.shape[1] + 1), kind)
-        for c in range(len(letters)):
-            np.cumsum(self.codes == c, axis=1, dtype=kind, out=self.sums[c, :, 1:])
-        self.totals = self.sums[:, :, -1]
-        self.sizes: dict[int, np.ndarray] = {}
-        wide = len(letters) + 1
-        place = self.codes.T.astype(np.int32)
-        self.pairs = np.ascontiguousarray(place[:-1] * wide + place[1:]).astype(np.uint16 if wide < 256 else np.int32)  # by place, then text
-        self.wide, self.fewest = wide, {}
+        self.wide = len(letters) + 1
 
     def needed(self, m: int, base: float) -> np.ndarray:
         """Pairs of neighbours of a needle that a window must hold to be above ``base``, by place of the window, then text.
@@ -77,60 +68,59 @@ class _Block:
         The common subsequence must have at least n letters. Each of the needle's letters that is not in it breaks two
         pairs of its neighbours, and each of the window's other letters one; 255 where n letters are not there.
         """
-        if (m, base) not in self.fewest:
-            both = self.both(m).T
-            n = np.floor((base / 200.0 - 1e-6) * both).astype(np.int32) + 1
-            self.fewest[m, base] = np.where(n > both - m, 255, np.maximum(3 * n - both - 1, 0)).astype(np.uint8)
-        return self.fewest[m, base]
+        start = np.arange(self.codes.shape[1] - 2 * self.margin + m - 1)
+        return self._needed(m, base, self.both(m, np.arange(len(self.lengths))[None, :], start[:, None]))
 
-    def both(self, m: int) -> np.ndarray:
+    @staticmethod
+    def _needed(m: int, base: float, both: np.ndarray) -> np.ndarray:
+        n = np.floor((base / 200.0 - 1e-6) * both).astype(np.int32) + 1
+        return np.where(n > both - m, 255, np.maximum(3 * n - both - 1, 0)).astype(np.uint8)
+
+    def both(self, m: int, rows: np.ndarray, spots: np.ndarray) -> np.ndarray:
         """Letters of needle and window together, for each window; windows outside a text have none of its letters."""
-        if m not in self.sizes:
-            start = np.arange(self.codes.shape[1] - 2 * self.margin + m - 1)[None, :] - (m - 1)
-            real = np.minimum(start + m, self.lengths[:, None]) - np.maximum(start, 0)
-            self.sizes[m] = (m + np.maximum(real, 0)).astype(np.float32)
-        return self.sizes[m]
-
-    def best(self, own: np.ndarray, above: np.ndarray, base: float) -> np.ndarray:
-        """Best indel ratio of a needle (numbers of its letters) with the windows of each text, also the shorter ones at
-        both ends. What cannot be ``above`` the given value of its text, at least ``base``, is left out; a text without
-        others gets 0.
-
-        The bounds: pairs of neighbours (``needed``), for all windows. Then the letters that needle and window have in
-        common, each as often as both have it, which are never fewer than their longest common subsequence.
+        start = spots - (m - 1)
+        return m + np.maximum(np.minimum(start + m, self.lengths[rows]) - np.maximum(start, 0), 0)
+
+    def pieces(self, size: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of the texts that begin every ``size`` letters: their rows, places, and ``length`` letters of each."""
+        n = -(-self.lengths // size)
+        rows = np.repeat(np.arange(len(n)), n)
+        places = (np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)) * size
+        return rows, places, self.letters_at(rows, places, length)
+
+    def letters_at(self, rows: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+        """By letter, then piece. Letters past the end of the row may belong to others; they never lower a bound."""
+        at = rows * self.codes.shape[1] + self.margin + places
+        return np.take(self.codes.ravel(), at[None, :] + np.arange(length)[:, None], mode="clip").astype(np.intp)
+
+    def best(self, own: np.ndarray, above: np.ndarray, base: float, rows: np.ndarray, spots: np.ndarray) -> np.ndarray:
+        """Best indel ratio of a needle (numbers of its letters) with windows of each text (their rows and places from
+        the first that touches the text), also the shorter ones at both ends. What cannot be ``above`` the given value
+        of its text, at least ``base``, is left out; a text without others gets 0.
+
+        The bound: pairs of neighbours (``needed``).
         """
-        m = len(own)
-        letters, times = np.unique(own, return_counts=True)
+        m, wide = len(own), self.wide
         out = np.zeros(len(self.lengths))
-        first, last = self.margin - (m - 1), self.codes.shape[1] - self.margin
-        known = np.zeros(self.wide * self.wide, np.uint8)
-        known[own[:-1] * self.wide + own[1:]] = 1
-        held = _running(np.take(known, self.pairs, mode="clip"), m - 1)[first:last]
-        spots, rows = np.divmod(np.flatnonzero((held >= self.needed(m, base)).ravel()), len(out))
-        long = self.lengths[rows] >= m
-        rows, spots = rows[long], spots[long]
-        upper = np.zeros(len(rows), np.int32)
-        begin = rows * self.sums.shape[2] + first + spots
-        end = begin + m
-        for c, n in zip(letters, times):
-            s = self.sums[c].ravel()
-            upper += np.minimum(np.take(s, end) - np.take(s, begin), n)
-        both = self.both(m)[rows, spots]
-        near = upper > (above[rows] / 200.0 - 1e-6) * both
-        rows, spots, both = rows[near], spots[near], both[near]
+        known = np.zeros(wide * wide, np.uint8)
+        known[own[:-1] * wide + own[1:]] = 1
         full = np.uint64((1 << m) - 1)
-        table = np.zeros(int(self.codes.max()) + 1, np.uint64)
+        table = np.zeros(wide, np.uint64)
         for k, c in enumerate(own):
-            if c < len(table):
-                table[c] |= np.uint64(1 << k)
-        flat = self.codes.ravel()
-        for a in range(0, len(rows), 1 << 18):
-            i, j = rows[a : a + (1 << 18)], spots[a : a + (1 << 18)]
-            s, at = np.full(len(i), full, np.uint64), i * self.codes.shape[1] + first + j
-            for k in range(m):
-                u = s & np.take(table, np.take(flat, at + k))
+            table[c] |= np.uint64(1 << k)
+        for a in range(0, len(rows), 1 << 14):
+            i, j = rows[a : a + (1 << 14)], spots[a : a + (1 << 14)]
+            ok = self.lengths[i] >= m
+            i, j = i[ok], j[ok]
+            both, letters = self.both(m, i, j), self.letters_at(i, j - (m - 1), m)
+            held = known[letters[:-1] * wide + letters[1:]].sum(axis=0)
+            ok = (held >= self._needed(m, base, both)) & ((m > above[i] / 200.0 * both - 1e-6 * both))
+            i, both, letters = i[ok], both[ok], letters[:, ok]
+            s = np.full(len(i), full, np.uint64)
+            for row in letters:
+                u = s & np.take(table, row)
                 s = ((s + u) | (s - u)) & full
-            np.maximum.at(out, i, 200.0 * (m - np.bitwise_count(s).astype(float)) / both[a : a + (1 << 18)])
+            np.maximum.at(out, i, 200.0 * (m - np.bitwise_count(s).astype(float)) / both)
         return out
 
 
@@ -146,22 +136,89 @@ def _exact_partial(text: str, needle: str, above: float) -> float:
     return max(_partial_slow(short, long), _partial_slow(long, short) if len(short) == len(long) else 0.0)
 
 
-def _running(rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``n`` rows from each row on, added up by doubled steps; one row of zeros more for ``n`` of 0."""
-    if not n:
-        return np.zeros((len(rows) + 1, rows.shape[1]), rows.dtype)
-    out, done, size = None, 0, 1
-    while True:
-        if n & size:
-            out = rows[: len(rows)] if out is None else out[: len(rows) - done] + rows[done:]
-            done += size
-        if done == n:
-            return out
-        rows, size = rows[:-size] + rows[size:], 2 * size
+class _Packed:
+    """Needles side by side in machine words, a bit for each letter and one between them, for the longest common
+    subsequences of all of them with pieces of texts. A window has no more letters in common with a needle than a piece
+    that holds it, so only windows of pieces with enough are looked at."""
+
+    def __init__(self, coded: list[np.ndarray], codes: int, base: float):
+        self.fit = sorted((k for k, x in enumerate(coded) if 0 < len(x) <= _WORD_BITS), key=lambda k: (len(coded[k]), k))
+        sizes = [len(coded[k]) for k in self.fit]
+        self.size = max(8, sizes[len(sizes) // 2]) if sizes else 8
+        self.words: list[tuple[np.ndarray, np.uint64, int, list[tuple[int, int, int, int, int]]]] = []
+        least = lambda both: int(np.floor((base / 200.0 - 1e-6) * both)) + 1
+        left = 0
+        for k in self.fit:
+            m = len(coded[k])
+            if left < m + 1:
+                self.words.append((np.zeros(codes + 1, np.uint64), np.uint64(0), 0, []))
+                left = 64
+            table, full, _, fields = self.words[-1]
+            off = 64 - left
+            for i, c in enumerate(coded[k]):
+                table[c] |= np.uint64(1 << (off + i))
+            edge = min((n for w in range(1, m) if (n := least(m + w)) <= w), default=m + 1)
+            self.words[-1] = (table, full | np.uint64(((1 << m) - 1) << off), m, [*fields, (k, off, m, least(2 * m), edge)])
+            left -= m + 1
+
+    @staticmethod
+    def _rest(table: np.ndarray, full: np.uint64, letters: np.ndarray) -> np.ndarray:
+        """A bit for each letter that is not in the longest common subsequence."""
+        s = np.full(letters.shape[1], full)
+        u, t = np.empty_like(s), np.empty_like(s)
+        for row in letters:
+            np.take(table, row, out=u, mode="clip")
+            np.bitwise_and(s, u, out=u)
+            np.add(s, u, out=t)
+            np.bitwise_xor(s, u, out=s)
+            np.bitwise_or(s, t, out=s)
+            np.bitwise_and(s, full, out=s)
+        return s
+
+    def windows(self, block: _Block) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Of each needle the windows (row, place from the first that touches the text) that pieces leave."""
+        if not self.words:
+            return {}
+        longest, size, out = self.words[-1][2], self.size, {}
+        rows, places, letters = block.pieces(size, size + longest - 1)
+        texts = np.arange(len(block.lengths))
+        begins = block.letters_at(texts, np.zeros_like(texts), longest)
+        for table, full, most, fields in self.words:
+            inner = self._rest(table, full, letters[: size + most - 1])
+            start = self._rest(table, full, begins[: most - 1])
+            end = self._rest(table, full, block.letters_at(texts, block.lengths - (most - 1), most - 1))
+            for k, off, m, need, edge in fields:
+                count = lambda s: m - np.bitwise_count((s >> np.uint64(off)) & np.uint64((1 << m) - 1)).astype(int)  # noqa: B023, E731
+                near = np.flatnonzero(count(inner) >= need)
+                r, p = self._closer(block, table, off, m, need, rows[near], places[near])
+                inside = p <= block.lengths[r] - m
+                parts = [(r[inside], p[inside])]
+                for side, place in ((np.flatnonzero(count(start) >= edge), lambda t: np.full(len(t), 1 - m)), (np.flatnonzero(count(end) >= edge), lambda t: block.lengths[t] - m + 1)):  # noqa: B023
+                    t = np.repeat(side, m - 1)
+                    parts.append((t, np.repeat(place(side), m - 1) + np.tile(np.arange(m - 1), len(side))))
+                out[k] = tuple(np.concatenate(x) for x in zip(*((r, p + m - 1) for r, p in parts)))
+        return out
+
+    def _closer(self, block: _Block, table: np.ndarray, off: int, m: int, need: int, rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All windows that begin in pieces, after looking at ever smaller parts of them."""
+        size = self.size
+        own, full = (table >> np.uint64(off)) & np.uint64((1 << m) - 1), np.uint64((1 << m) - 1)
+        while size > 2 and len(rows):
+            part = -(-size // 3)
+            n = -(-size // part)
+            rows, places = np.repeat(rows, n), np.repeat(places, n) + np.tile(np.arange(n) * part, len(places))
+            ok = []
+            for a in range(0, len(rows), 1 << 13):
+                r, p = rows[a : a + (1 << 13)], places[a : a + (1 << 13)]
+                ok.append(m - np.bitwise_count(self._rest(own, full, block.letters_at(r, p, part + m - 1))).astype(int) >= need)
+            ok = np.concatenate(ok)
+            rows, places, size = rows[ok], places[ok], part
+        at = np.unique(np.repeat(rows, size) * (1 << 32) + np.repeat(places, size) + np.tile(np.arange(size), len(places)))
+        return at >> 32, at & ((1 << 32) - 1)
 
 
 #: Needles up to this length are compared by machine words; cells of a block of texts.
-_WORD_BITS, _CELLS = 63, 150_000
+_WORD_BITS, _CELLS = 63, 400_000
 
 
 def best_partial(texts: list[str], needles: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -182,13 +239,15 @@ def best_partial(texts: list[str], needles: list[str], threshold: float) -> tupl
             n += 1
         groups.append(order[a : a + n])
         a += n
+    packed = _Packed(coded, len(letters), threshold - 1e-6)
     for g in groups:
         mine = np.array(g)
         block = _Block([texts[i] for i in g], letters, margin) if texts[g[0]] else None
+        windows = packed.windows(block) if block else {}
         for k, needle in enumerate(needles):
             got = np.zeros(len(g))
-            if block is not None and 0 < len(needle) <= _WORD_BITS:
-                got = block.best(coded[k], best[mine], threshold - 1e-6)
+            if k in windows and len(windows[k][0]):
+                got = block.best(coded[k], best[mine], threshold - 1e-6, *windows[k])
             for j, i in enumerate(g):  # sorted by length: those behind are longer
                 if len(texts[i]) > len(needle) and 0 < len(needle) <= _WORD_BITS:
                     break
