@@ -297,12 +297,14 @@ class Terms:
 
     Of spelling: whole token sets that reach the cutoff are at most (1 - cutoff) of their letters apart in single
     insertions and deletions. So letters that one side has more of than the other are few: first those letters of which
-    patterns have more than texts, then each letter as often as it stands there, then letter pairs, of which one
-    insertion or deletion changes three at most, in whatever order the tokens stand. What is left is compared.
+    patterns have more than texts, then each letter as often as it stands there, for the most that any text of a small
+    cluster of like texts has and then for each text, then letter pairs, of which one insertion or deletion changes
+    three at most, in whatever order the tokens stand. What is left is compared.
     """
 
-    #: Bits for letters and letter pairs, texts of one comparison, cells of a table of texts by tokens, candidates at once.
-    LETTERS, PAIRS, SIDE, WIDE, CELLS, AT_ONCE = 256, 512, 64, 8192, 1 << 24, 1 << 20
+    #: Bits for letters and letter pairs; texts of a cluster; clusters and patterns of one comparison; cells of a table of
+    #: texts by tokens, candidates at once.
+    LETTERS, PAIRS, CLUSTER, SIDE, WIDE, CELLS, AT_ONCE = 256, 512, 4, 64, 4096, 1 << 24, 1 << 20
     #: Letters that are told apart, the most frequent ones; known tokens of a text from which it meets patterns by one token.
     ALPHABET, MANY = 64, 512
 
@@ -325,7 +327,6 @@ class Terms:
         joined = [" ".join(s) for s in sets]
         self.letters = sorted(c for c, _ in Counter("".join(joined)).most_common(self.ALPHABET))
         self.counts = _in_parts(self._letter_counts, joined)
-        self.pairs = _in_parts(lambda x: _pair_bits(x, self.PAIRS), joined)
         self.placed = False
 
     def _need(self, lengths: np.ndarray) -> np.ndarray:
@@ -444,7 +445,6 @@ class Terms:
         self.bits = self._letter_bits(self.counts)
         s = self.order
         self.s_len, self.s_lean, self.s_bits = self.lengths[s], self.lean[s], [np.ascontiguousarray(self.bits[s, w]) for w in range(self.bits.shape[1])]
-        self.s_pairs = self.pairs[s]
         self.s_spans = {int(n): (int(a), int(b)) for n, a, b in zip(*(lambda u: (u, np.searchsorted(self.s_len, u), np.searchsorted(self.s_len, u, "right")))(np.unique(self.s_len)))}
         self.placed = True
 
@@ -470,19 +470,23 @@ class Terms:
         counts = self._letter_counts(joined)
         if not self.placed:
             self._place(counts)
-        lean, bits, pairs = counts[:, self.more].sum(axis=1, dtype=np.int64), self._letter_bits(counts), _pair_bits(joined, self.PAIRS)
-        rows, out = np.lexsort((lean, lengths)), []
-        cuts = np.flatnonzero(np.diff(lengths[rows])) + 1
-        for same in np.split(rows, cuts):
+        lean, bits = counts[:, self.more].sum(axis=1, dtype=np.int64), self._letter_bits(counts)
+        order, starts = _clusters(np.column_stack([counts, np.minimum(lengths, 255).astype(np.uint8)]), self.CLUSTER)
+        most = np.maximum.reduceat(lean[order], starts)
+        least, longest = np.minimum.reduceat(lengths[order], starts), np.maximum.reduceat(lengths[order], starts)
+        lacks = ~np.bitwise_or.reduceat(bits[order], starts, axis=0)
+        starts = np.append(starts, len(order))
+        rows, out = np.lexsort((most, least)), []
+        for same in np.split(rows, np.flatnonzero(np.diff(least[rows])) + 1):
             for a in range(0, len(same), self.SIDE):
                 i = same[a : a + self.SIDE]
-                la, most = int(lengths[i[0]]), int(lean[i].max())
+                la = int(least[i[0]])
                 spans, missing = [], []
-                for lb in range(int(np.ceil(la * low - 1e-6)), int(la * high + 1e-6) + 1):
+                for lb in range(int(np.ceil(la * low - 1e-6)), int(longest[i].max() * high + 1e-6) + 1):
                     if lb in self.s_spans:
                         s, e = self.s_spans[lb]
-                        may = int((self.apart * (la + lb) - la + lb) / 2 + 1e-6)  # letters of the pattern that the text may lack
-                        e = s + int(np.searchsorted(self.s_lean[s:e], most + may, "right"))
+                        may = self._may(la, lb)
+                        e = s + int(np.searchsorted(self.s_lean[s:e], most[i].max() + may, "right"))
                         if may >= 0 and e > s:
                             spans.append(np.arange(s, e))
                             missing.append(np.full(e - s, may, np.uint8 if may < 256 else np.int64))
@@ -490,29 +494,49 @@ class Terms:
                     continue
                 where, may = np.concatenate(spans), np.concatenate(missing)
                 for k in range(0, len(where), self.WIDE):
-                    for t, p in zip(*self._near(la, i, where[k : k + self.WIDE], may[k : k + self.WIDE], bits, pairs)):
+                    c, y = self._left(lacks, i, where[k : k + self.WIDE], may[k : k + self.WIDE])
+                    at, place = _expand(np.arange(len(c)), starts[c], starts[c + 1])
+                    for t, p in zip(*self._near(joined, lengths, order[place], y[at], bits)):
                         got = token_set_ratio(joined[t], self.patterns[p])
                         if got >= self.cutoff:
                             out.append((int(fit[t]), int(p), got))
         return out
 
-    def _near(self, la: int, i: np.ndarray, where: np.ndarray, may: np.ndarray, bits: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts ``i`` of ``la`` letters and patterns in the places ``where`` that letters and letter pairs leave."""
-        lack = np.bitwise_count(~bits[i, 0][:, None] & self.s_bits[0][where])
-        lack += np.bitwise_count(~bits[i, 1][:, None] & self.s_bits[1][where])
+    def _may(self, la, lb):  # noqa: ANN001, ANN202
+        """Letters of a pattern of ``lb`` letters that a text of ``la`` or more may lack."""
+        return np.floor((self.apart * (la + lb) - la + lb) / 2 + 1e-6).astype(np.int64)
+
+    def _left(self, lacks: np.ndarray, i: np.ndarray, where: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Clusters ``i`` and places of patterns of which no text of the cluster lacks too many letters."""
+        lack = np.bitwise_count(lacks[i, 0][:, None] & self.s_bits[0][where])
+        lack += np.bitwise_count(lacks[i, 1][:, None] & self.s_bits[1][where])
         at = np.flatnonzero((lack <= may).ravel())
         x, y = np.divmod(at, len(where))
         lack, may = lack.ravel()[at].astype(np.int64), may[y].astype(np.int64)
         x, y = i[x], where[y]
-        for w in range(2, bits.shape[1]):
+        for w in range(2, lacks.shape[1]):
+            lack += np.bitwise_count(lacks[x, w] & self.s_bits[w][y])
+            ok = lack <= may
+            x, y, may, lack = x[ok], y[ok], may[ok], lack[ok]
+        return x, y
+
+    def _near(self, joined: list[str], lengths: np.ndarray, x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts ``x`` and patterns in the places ``y`` that their own letters and letter pairs leave."""
+        may = self._may(lengths[x], self.s_len[y])
+        lack = np.zeros(len(x), np.int64)
+        for w in range(bits.shape[1]):
             lack += np.bitwise_count(~bits[x, w] & self.s_bits[w][y])
             ok = lack <= may
             x, y, may, lack = x[ok], y[ok], may[ok], lack[ok]
-        lb, pa, pb = self.s_len[y], pairs[x], self.s_pairs[y]
+        if not len(x):
+            return x, y
+        la, lb, y = lengths[x], self.s_len[y], self.order[y]
+        pa = _pair_bits([joined[k] for k in x], self.PAIRS)
+        pb = _pair_bits([" ".join(set(self.patterns[k].split())) for k in y], self.PAIRS)
         most = 3 * self.apart * (la + lb)
         ok = np.bitwise_count(pb & ~pa).sum(axis=1, dtype=np.int64) <= (most - la + lb) / 2 + 1e-3
         ok &= np.bitwise_count(pa & ~pb).sum(axis=1, dtype=np.int64) <= (most + la - lb) / 2 + 1e-3
-        return x[ok], self.order[y[ok]]
+        return x[ok], y[ok]
 
     def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, pattern, ratio): the pattern with the highest ratio of each text, the first of equals."""
@@ -534,6 +558,21 @@ def _best_of(t: np.ndarray, p: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, n
     return t[order], p[order], v[order]
 
 
+def _clusters(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows in which like ones stand together, and where clusters of at most ``size`` rows begin: parts
+    are halved by the column that differs most in them."""
+    left, order = [np.arange(len(counts))], []
+    while left:
+        i = left.pop()
+        if len(i) <= size:
+            order.append(i)
+            continue
+        by = counts[i, counts[i[:: max(1, len(i) // 256)]].astype(np.float32).var(axis=0).argmax()]
+        half = np.argpartition(by, len(i) // 2)
+        left += [i[half[: len(i) // 2]], i[half[len(i) // 2 :]]]
+    return np.concatenate(order), np.cumsum([0, *map(len, order[:-1])])
+
+
 def _in_parts(of: Callable[[list[str]], np.ndarray], rows: list[str], size: int = 10_000) -> np.ndarray:
     return np.concatenate([of(rows[a : a + size]) for a in range(0, max(1, len(rows)), size)])
 

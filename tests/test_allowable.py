@@ -104,3 +104,22 @@ def test_windows_left_out_are_below_the_threshold():
     for k, t in enumerate(texts):
         want = sim._exact_partial(t, needle, 0.0)
         assert (which[k] == 0) == (want >= 78) and (want < 78 or abs(best[k] - want) < 1e-9)
+
+
+def test_clusters_of_texts_leave_few_pairs(monkeypatch):
+    r = random.Random(8)
+    words = ["".join(r.choice("kalimntorsu") for _ in range(r.randint(4, 9))) for _ in range(40)]
+    terms = sorted({f"{' '.join(r.sample(words, 4))} gd-{r.randint(1000, 1999)}" for _ in range(400)})
+    texts = sorted({misspelt(r, t, 4) for t in terms[:80]} | {" ".join([*r.sample(words, 4), f"paket {k}"]) for k in range(10) for _ in range(60)})
+    looked, near = [], sim.Terms._near
+    monkeypatch.setattr(sim.Terms, "_near", lambda self, joined, lengths, x, *rest: looked.append(len(x)) or near(self, joined, lengths, x, *rest))
+    for size in (1, 4, 1000):
+        monkeypatch.setattr(sim.Terms, "CLUSTER", size)
+        looked.clear()
+        got = sorted(sim.alike_pairs(texts, terms, 88.0))
+        if size == 1:
+            want = got
+            assert len(want) > 40
+        assert got == want
+        if size == 4:
+            assert sum(looked) < len(texts) * len(terms) / 4
